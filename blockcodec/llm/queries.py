@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .simhash import simhash_dedup
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_dedup(spark, sf_dir):
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_simhash_dedup": op4_simhash_dedup,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
