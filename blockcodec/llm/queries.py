@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_dedup
 from .simhash import simhash_dedup
+from .substring_dedup import substring_dedup
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -15,9 +16,14 @@ def op4_simhash_dedup(spark, sf_dir):
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
