@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .quality import quality
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 
@@ -12,6 +13,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_dedup(spark, sf_dir):
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,7 @@ def op7_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_substring_dedup": op7_substring_dedup,
 }
