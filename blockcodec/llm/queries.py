@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .quality import quality
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
@@ -25,11 +26,23 @@ def op7_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file, which every executor has too."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
