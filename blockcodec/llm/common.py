@@ -58,6 +58,12 @@ def with_row_id(docs: DataFrame, **cols) -> DataFrame:
     return docs.select(*[c.alias(n) for n, c in cols.items()], F.monotonically_increasing_id().alias("_rid"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, a struct of all columns of docs, and _rid, an id of the row that
+    later passes see too: written, as row numbers are not fixed before that."""
+    return write_table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_rid")), "numbered")
+
+
 def to_bytes(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace") if isinstance(text, str) else text
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, to_bytes, with_row_id, write_table
+from .common import numbered, shuffle_partitions, to_bytes, with_row_id, write_table
 
 
 class ContentTable:
@@ -67,6 +67,9 @@ class ContentTable:
         self.slots[i] = e
 
 
+#: Bytes that the table of one task holds at most.
+TABLE_BYTES = 48 << 20
+
 SPILL = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("sha", pa.string()), ("text", pa.binary())])
 SPILL_DDL = "_rid long, doc_id long, rep long, n long, h long, sha string, text binary"
 RESOLVED = pa.schema([("rep", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("text", pa.binary()), ("keep_rid", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -147,18 +150,11 @@ def bucket_pass(limit: int):
 
 
 
-def exact_dedup(docs: DataFrame, table_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept,
-    text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; null counts as
-    empty. The row with the largest doc_id stays; a null doc_id is below all
-    others, and of rows with equal doc_id and text exactly one stays. Any other
-    columns of docs are ignored. table_bytes bounds the table of one task.
-    """
-    spark = docs.sparkSession
-    rows = with_row_id(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
-    spill = write_table(rows.mapInArrow(collapse, SPILL_DDL), "spill")
+def _resolve(rows: DataFrame, table_bytes: int) -> DataFrame:
+    """rows (doc_id, text, _rid) -> the same rows with the class of each:
+    _rid, doc_id, sha, keep_rid, keep_id, group_size."""
+    spark = rows.sparkSession
+    spill = write_table(rows.select("doc_id", "text", "_rid").mapInArrow(collapse, SPILL_DDL), "spill")
     todo = spill.where("text is not null").select("rep", "doc_id", "n", "h", "text")
     levels = []
     while True:
@@ -174,4 +170,26 @@ def exact_dedup(docs: DataFrame, table_bytes: int = 48 << 20, id_col: str = "doc
     for x in levels[1:]:
         resolved = resolved.unionAll(x)
     # rep is a row of the same batch, so no rep has more rows than a batch.
-    return spill.select("_rid", "doc_id", "rep", "sha").join(resolved, "rep").select("doc_id", "keep_id", "group_size", (F.col("_rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return spill.select("_rid", "doc_id", "rep", "sha").join(resolved, "rep")
+
+
+def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept,
+    text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as
+    empty. The row with the largest doc_id stays; a null doc_id is below all
+    others, and of rows with equal doc_id and text exactly one stays. Any other
+    columns of docs are ignored. table_bytes bounds the table of one task.
+    """
+    rows = with_row_id(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
+    found = _resolve(rows, table_bytes)
+    return found.select("doc_id", "keep_id", "group_size", (F.col("_rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def kept_rows(docs: DataFrame, table_bytes: int = TABLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns."""
+    rows = numbered(docs)
+    found = _resolve(rows.select(F.col("row")[id_col].cast("long").alias("doc_id"), F.col("row")[text_col].alias("text"), "_rid"), table_bytes)
+    gone = found.where("_rid <> keep_rid").select("_rid")
+    return rows.join(gone, "_rid", "left_anti").select("row.*")
