@@ -8,6 +8,7 @@ from .packing import pack_documents
 from .quality import quality
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -37,12 +38,17 @@ def op8_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
