@@ -8,6 +8,7 @@ from .packing import pack_documents
 from .quality import quality
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
+from .token_files import token_files
 from .toxicity import toxicity
 
 
@@ -42,10 +43,15 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_files(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_token_files": op6_token_files,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_toxicity": op10_toxicity,
