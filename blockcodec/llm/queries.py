@@ -6,6 +6,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .quality import quality
+from .quality_rules import quality_rules
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .token_files import token_files
@@ -20,6 +21,10 @@ def op2_quality_classifier(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark, sf_dir):
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op6_token_files(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_token_files": op6_token_files,
     "op7_substring_dedup": op7_substring_dedup,
