@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extraction import extract_pages
 from .packing import pack_documents
 from .quality import quality
 from .quality_rules import quality_rules
@@ -33,6 +34,10 @@ def op7_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public vocabulary file, which every executor has too."""
     import public_tokenizers
@@ -57,6 +62,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
