@@ -8,6 +8,7 @@ from .html_extraction import extract_pages
 from .packing import pack_documents
 from .quality import quality
 from .quality_rules import quality_rules
+from .sentencepiece_lattice import load, sentencepiece
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .token_files import token_files
@@ -49,6 +50,10 @@ def op8_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    return sentencepiece(table(spark, sf_dir, "documents"), load(tokenizer_file("piece_bpe_32k.model")), digest=True)
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity": op10_toxicity,
 }
 
