@@ -146,6 +146,11 @@ def _bits(k):
     return F.shiftright(k, 6).bitwiseAND(F.lit(63)).cast("int"), k.bitwiseAND(F.lit(63)).cast("int")
 
 
+def _let(value, body):
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _at(b, i):
     return F.getbit(b, i) == 1
 
@@ -173,11 +178,14 @@ def fold_merges(edges, n):
 
     def step(state, _):
         b, live = state["b"], state["live"]
-        best = F.array_min(F.filter(live, joins(b)))
-        s, e = _bits(best)
-        inner = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), e - s - 1) - 1, s + 1)
-        left = b.bitwiseAND(F.bitwise_not(inner))
-        return F.when(best.isNull(), state).otherwise(F.struct(left.alias("b"), F.filter(live, alive(left)).alias("live")))
+
+        def merge(best):
+            s, e = _bits(best)
+            inner = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), e - s - 1) - 1, s + 1)
+            after = _let(b.bitwiseAND(F.bitwise_not(inner)), lambda left: F.struct(left.alias("b"), F.filter(live, alive(left)).alias("live")))
+            return F.when(best.isNull(), state).otherwise(after)
+
+        return F.when(F.size(live) == 0, state).otherwise(_let(F.array_min(F.filter(live, joins(b))), merge))
 
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
     start = F.struct(whole.alias("b"), edges.alias("live"))
@@ -192,9 +200,12 @@ def fold_viterbi(edges, n, unknown: float = -100.0):
     def step(paths, e):
         into = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.struct((F.get(paths, x["s"])["score"] + x["score"]).alias("score"), (-x["s"]).alias("from")))
         single = F.struct((F.get(paths, e - 1)["score"] + F.lit(unknown)).alias("score"), (F.lit(1) - e).alias("from"))
-        best = F.array_max(F.concat(into, F.array(single)))
-        bits = F.get(paths, -best["from"])["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e))
-        return F.concat(paths, F.array(F.struct(best["score"].alias("score"), bits.alias("bits"))))
+
+        def extend(best):
+            bits = F.get(paths, -best["from"])["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e))
+            return F.concat(paths, F.array(F.struct(best["score"].alias("score"), bits.alias("bits"))))
+
+        return _let(F.array_max(F.concat(into, F.array(single))), extend)
 
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("bits")))
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda paths: F.get(paths, n)["bits"])
