@@ -83,4 +83,14 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op7_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM t),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM t),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM starts),
+        early AS (SELECT s, min(doc_id) AS m FROM windows GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN early USING (s) WHERE m < doc_id),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM w ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT t.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+        FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id""",
 }
