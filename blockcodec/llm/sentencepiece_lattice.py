@@ -22,6 +22,7 @@ import re
 import uuid
 import zlib
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ class Pieces:
     longest: int
     pattern: str
     dummy_prefix: bool = True
+    cuts_lines: bool = True  # no piece has a line end
+    pairs: frozenset[str] = frozenset()  # neighbouring characters within pieces
 
     def words(self, text: str) -> list[str]:
         """No piece reaches over the end of a word."""
@@ -60,6 +63,38 @@ class Pieces:
         s = text.replace(" ", SPACE)
         return re.findall(self.pattern, SPACE + s if self.dummy_prefix else s)
 
+    def keys(self, text: str) -> list[str]:
+        """words(), each as word_of() reads it. Nearly all words follow one
+        space: those are their plain text, others have a mark before them."""
+        if not text:
+            return []
+        if SPACE in text or "  " in text or "\0" in text or "\t" in text or "\r" in text or text[0] == " " or not self.dummy_prefix or not self.cuts_lines:
+            return ["\0" + w for w in self.words(text)]
+        if "\n" not in text:
+            return text.split(" ")
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            parts = line.split(" ")
+            if k:
+                out.append("\0\n")
+                if parts[0]:
+                    out.append("\0" + parts[0])
+                del parts[0]
+            elif not line:
+                parts = [""]  # the prefix alone
+            out += parts
+        return out
+
+    def parts(self, word: str) -> list[str]:
+        """A word cut where no piece has its two neighbours: a piece never
+        reaches over such a place, and fewer different parts are left."""
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in self.pairs]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+    @staticmethod
+    def word_of(key: str) -> str:
+        return key[1:] if key[:1] == "\0" else SPACE + key
+
     def spell(self, part: str) -> list[int]:
         """The id of a piece; bytes for a character that has none."""
         known = self.ids.get(part)
@@ -91,7 +126,7 @@ def pieces(ids, score, text, byte, dummy_prefix=True) -> Pieces:
     if any(SPACE in p.lstrip(SPACE) for p in ids):
         raise ValueError("pieces reach over white space: words cannot be told apart")
     pattern = f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" + (f"|[{cut}]" if cut else "")
-    return Pieces(ids, {p: order[s] for p, s in score.items()}, score, text, byte, max(map(len, ids), default=1), pattern, dummy_prefix)
+    return Pieces(ids, {p: order[s] for p, s in score.items()}, score, text, byte, max(map(len, ids), default=1), pattern, dummy_prefix, "\n" not in joined, frozenset(p[i : i + 2] for p in ids for i in range(len(p) - 1)))
 
 
 def merged(word: str, model: Pieces) -> list[int]:
@@ -159,20 +194,21 @@ def fold_merges(edges, n):
     """edges: array of keys; the boundaries that are left, as bits of a long.
 
     Each step takes the least key among the edges with one boundary inside.
-    An edge that has lost an end is dropped for good."""
+    An edge that has lost an end, or has been made, is dropped for good."""
+
+    def inside(b, s, e):
+        return F.call_function("shiftright", b, s + 1).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), e - s - 1) - 1)
 
     def joins(b):
         def test(k):
-            s, e = _bits(k)
-            inside = F.call_function("shiftright", b, s + 1).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), e - s - 1) - 1)
-            return F.bit_count(inside) == 1
+            return F.bit_count(inside(b, *_bits(k))) == 1
 
         return test
 
     def alive(b):
         def test(k):
             s, e = _bits(k)
-            return _at(b, s) & _at(b, e)
+            return _at(b, s) & _at(b, e) & (inside(b, s, e) != 0)
 
         return test
 
@@ -233,6 +269,14 @@ NUMBERED_SCHEMA = pa.schema([("block", pa.int64()), ("loc", pa.int64()), ("word"
 NO_ID = np.iinfo(np.int64).max
 
 
+class Numbers(dict):
+    """key -> its number, in the order of first use."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 def _squeeze(*arrays) -> bytes:
     """Integer arrays, byte planes apart, compressed."""
     parts = [np.array([len(a) for a in arrays], np.int64).tobytes()]
@@ -252,12 +296,12 @@ def _expand(blob: bytes, *kinds):
 
 
 def _number(model: Pieces, limit: int):
-    """Per block: its distinct words, and its texts as numbers of those, the
-    most frequent word first."""
+    """Per block: the distinct parts of its words, its texts as numbers of
+    words, the most frequent first, and the words as numbers of parts."""
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
-        index: dict[str, int] = {}
+        index = Numbers()
         codes: list[np.ndarray] = []
         keys: list[int] = []
         held = 0
@@ -268,17 +312,20 @@ def _number(model: Pieces, limit: int):
             order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
             number = np.empty(len(index), np.int32)
             number[order] = np.arange(len(index), dtype=np.int32)
-            words = list(index)
-            long_ids = [(int(number[i]), merged(w, model)) for i, w in enumerate(words) if len(w) > LONGEST]
+            keys_, parts = list(index), Numbers()
+            made_of = [[parts[p] for p in model.parts(model.word_of(keys_[i]))] for i in order.tolist()]
+            names = list(parts)
+            long_ids = [(i, merged(p, model)) for i, p in enumerate(names) if len(p) > LONGEST]
             extra = [np.array([k for k, _ in long_ids], np.int32), np.array([len(x) for _, x in long_ids], np.int32), np.array([i for _, x in long_ids for i in x], np.int32)]
             block = (task << 16) + made
-            rest = [i for i in order.tolist() if len(words[i]) <= LONGEST]
-            blob = _squeeze(np.array(keys, np.int64), np.array([len(c) for c in codes], np.int32), number[flat], *extra)
+            words = [np.array([len(m) for m in made_of], np.int32), np.array([i for m in made_of for i in m], np.int32)]
+            blob = _squeeze(np.array(keys, np.int64), np.array([len(c) for c in codes], np.int32), number[flat], *words, *extra)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([blob], pa.binary())], schema=NUMBERED_SCHEMA)
+            rest = [i for i, p in enumerate(names) if len(p) <= LONGEST]
             for at in range(0, len(rest), 50_000):
                 some = rest[at : at + 50_000]
-                loc = (np.int64(block) << 24) + number[some]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(loc), pa.array([words[i] for i in some]), pa.nulls(len(some), pa.binary())], schema=NUMBERED_SCHEMA)
+                loc = (np.int64(block) << 24) + np.array(some, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(loc), pa.array([names[i] for i in some]), pa.nulls(len(some), pa.binary())], schema=NUMBERED_SCHEMA)
             made, held = made + 1, 0
             index.clear()
             codes.clear()
@@ -286,8 +333,8 @@ def _number(model: Pieces, limit: int):
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = model.words(text or "")
-                codes.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+                words = model.keys(text or "")
+                codes.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                 keys.append(NO_ID if key is None else key)
                 held += len(text or "") + 64
                 if held >= limit:
@@ -324,11 +371,26 @@ def decode_ids(ids, model: Pieces) -> str:
     return s[1:] if model.dummy_prefix and s.startswith(" ") else s
 
 
+def _taken(start, count):
+    """The places start[i], ..., start[i] + count[i] - 1 for each i in turn."""
+    before = np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else np.zeros(0, np.int64)
+    return np.repeat(start - before, count) + np.arange(int(count.sum()))
+
+
+def _in_parts(codes, sizes, made_of, parts_of):
+    """Texts as numbers of words -> as numbers of parts, and their sizes."""
+    made_of = made_of.astype(np.int64)
+    start, count = np.cumsum(made_of) - made_of, made_of[codes]
+    ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum(sizes)] if len(sizes) else np.zeros(0, np.int64)
+    return parts_of[_taken(start[codes], count)], np.diff(ends, prepend=0)
+
+
 def _assembled(model: Pieces, digest: bool):
     def run(key, docs, told):
         out = []
         for blob in docs["docs"].to_pylist():
-            keys, sizes, codes, k, n, flat = _expand(blob, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)
+            keys, sizes, codes, made_of, parts_of, k, n, flat = _expand(blob, np.int64, *[np.int32] * 7)
+            codes, sizes = _in_parts(codes, sizes, made_of, parts_of)
             parts = [(k, n, flat)] + [_expand(x, np.int32, np.int32, np.int32) for x in told["ids"].to_pylist()]
             number, length, flat = (np.concatenate([p[i] for p in parts]) for i in range(3))
             start, count = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
@@ -339,8 +401,7 @@ def _assembled(model: Pieces, digest: bool):
                 own = codes[end - size : end]
                 c = count[own]
                 total = int(c.sum())
-                at = np.repeat(start[own] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(total) if total else np.zeros(0, np.int64)
-                ids = flat[at]
+                ids = flat[_taken(start[own], c)]
                 decoded = b"".join([text[i] for i in own.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
                 decoded = decoded[1:] if model.dummy_prefix and decoded.startswith(" ") else decoded
                 doc = None if key_ == NO_ID else key_
