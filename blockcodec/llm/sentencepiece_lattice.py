@@ -85,11 +85,31 @@ class Pieces:
             out += parts
         return out
 
-    def parts(self, word: str) -> list[str]:
-        """A word cut where no piece has its two neighbours: a piece never
-        reaches over such a place, and fewer different parts are left."""
-        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in self.pairs]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words cut where no piece has the two neighbours: a piece never
+        reaches over such a place, and fewer different parts are left. The
+        parts of all words in turn, and how many each word has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        whole = "".join(words)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        used = np.zeros(0x110000, np.int32)
+        used[code] = 1
+        chars = np.nonzero(used)[0]
+        used[chars] = np.arange(len(chars))
+        number = used[code]
+        index = {chr(c): i for i, c in enumerate(chars.tolist())}
+        joined = np.zeros((len(chars), len(chars)), bool)
+        for pair in self.pairs:
+            if pair[0] in index and pair[1] in index:
+                joined[index[pair[0]], index[pair[1]]] = True
+        cut = np.ones(len(code), bool)
+        cut[1:] = ~joined[number[:-1], number[1:]]
+        cut[starts] = True
+        at = np.nonzero(cut)[0]
+        counts = np.diff(np.append(np.searchsorted(at, starts), len(at)))
+        bounds = [*at.tolist(), len(code)]
+        return [whole[i:j] for i, j in zip(bounds, bounds[1:])], counts
 
     @staticmethod
     def word_of(key: str) -> str:
@@ -313,15 +333,17 @@ def _number(model: Pieces, limit: int):
             number = np.empty(len(index), np.int32)
             number[order] = np.arange(len(index), dtype=np.int32)
             keys_, parts = list(index), Numbers()
-            made_of = [[parts[p] for p in model.parts(model.word_of(keys_[i]))] for i in order.tolist()]
+            cut, made_of = model.parts([model.word_of(keys_[i]) for i in order.tolist()])
+            parts_of = np.fromiter(map(parts.__getitem__, cut), np.int32, len(cut))
             names = list(parts)
             long_ids = [(i, merged(p, model)) for i, p in enumerate(names) if len(p) > LONGEST]
             extra = [np.array([k for k, _ in long_ids], np.int32), np.array([len(x) for _, x in long_ids], np.int32), np.array([i for _, x in long_ids for i in x], np.int32)]
             block = (task << 16) + made
-            words = [np.array([len(m) for m in made_of], np.int32), np.array([i for m in made_of for i in m], np.int32)]
+            words = [made_of.astype(np.int32), parts_of]
             blob = _squeeze(np.array(keys, np.int64), np.array([len(c) for c in codes], np.int32), number[flat], *words, *extra)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([blob], pa.binary())], schema=NUMBERED_SCHEMA)
-            rest = [i for i, p in enumerate(names) if len(p) <= LONGEST]
+            # In order of their letters they take less room in files and shuffles.
+            rest = sorted((i for i, p in enumerate(names) if len(p) <= LONGEST), key=names.__getitem__)
             for at in range(0, len(rest), 50_000):
                 some = rest[at : at + 50_000]
                 loc = (np.int64(block) << 24) + np.array(some, np.int64)
