@@ -38,18 +38,25 @@ BLOCK_BITS = 1 << 17
 FILE_TOKENS = 1 << 21
 
 
+def _code_type(planes: int):
+    return np.uint16 if planes <= 16 else np.uint32
+
+
 def encode_file(ids: np.ndarray, doc_ids, ends, block_bits: int = BLOCK_BITS) -> bytes:
     """ids: uint32; doc_ids: int64; ends: the end of each document in ids."""
-    alphabet, seq = np.unique(ids, return_inverse=True)
+    alphabet = np.nonzero(np.bincount(ids, minlength=1))[0] if len(ids) else np.zeros(0, np.int64)
     planes, head, body = max(1, int(len(alphabet) - 1).bit_length()), [], []
-    seq = seq.astype(np.uint32)
+    code = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, _code_type(planes))
+    code[alphabet] = np.arange(len(alphabet))
+    seq = code[ids]
     for p in range(planes - 1, -1, -1):
-        bits = (seq >> np.uint32(p)) & np.uint32(1)
-        ones = [0, *(int(bits[at : at + block_bits].sum()) for at in range(0, len(bits), block_bits))]
-        blocks = [zstandard.compress(np.packbits(bits[at : at + block_bits].astype(np.uint8)).tobytes(), 1) for at in range(0, len(bits), block_bits)]
-        head.append(np.array([len(bits) - sum(ones), *np.cumsum(ones[:-1]), *np.cumsum([len(b) for b in blocks])] if blocks else [0], np.int64))
+        one = (seq & seq.dtype.type(1 << p)).astype(bool)
+        starts = range(0, len(one), block_bits)
+        ones = [int(np.count_nonzero(one[at : at + block_bits])) for at in starts]
+        blocks = [zstandard.compress(np.packbits(one[at : at + block_bits]).tobytes(), 1) for at in starts]
+        before = np.cumsum([0, *ones])[:-1]
+        head.append(np.array([len(one) - sum(ones), *before, *np.cumsum([len(b) for b in blocks])] if blocks else [0], np.int64))
         body.append(b"".join(blocks))
-        one = bits.astype(bool)
         seq = np.concatenate([seq[~one], seq[one]])
     parts = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in (alphabet.astype(np.uint32), np.asarray(doc_ids, np.int64), np.asarray(ends, np.int64))]
     sizes = struct.pack("<8q", len(ids), len(doc_ids), len(alphabet), planes, block_bits, *map(len, parts))
@@ -146,16 +153,17 @@ class TokenFile:
         return i
 
     def tokens(self) -> np.ndarray:
-        """All ids in order, plane by plane: where each token has moved to in a
-        plane is its rank among equal bits."""
-        code, place = np.zeros(self.n, np.uint32), np.arange(self.n, dtype=np.int32 if self.n < 1 << 31 else np.int64)
-        for p in range(self.planes):
-            bits = np.concatenate([self._bits(p, b) for b in range(self.blocks)]) if self.blocks else np.zeros(0, np.uint8)
+        """All ids in order, from the last plane up: the zeros of a plane were
+        dealt to the front of the next one and the ones behind them, each in
+        order, so they are taken back in order."""
+        code = np.zeros(self.n, _code_type(self.planes))
+        for p in range(self.planes - 1, -1, -1):
+            one = np.concatenate([self._bits(p, b) for b in range(self.blocks)]).astype(bool) if self.blocks else np.zeros(0, bool)
             self._cache.clear()
-            ones = np.cumsum(bits, dtype=place.dtype)
-            moved = np.where(bits.astype(bool), self.zeros[p] + ones - 1, np.arange(self.n, dtype=place.dtype) - ones)
-            code = code * np.uint32(2) + bits[place]
-            place = moved[place]
+            above = np.empty_like(code)
+            above[~one] = code[: self.zeros[p]]
+            above[one] = code[self.zeros[p] :] | code.dtype.type(1 << (self.planes - 1 - p))
+            code = above
         return self.alphabet[code]
 
 
