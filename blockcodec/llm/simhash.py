@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import numbered, to_bytes, with_row_id, write_table
 from .components import components
+from .shingles import similar_links
 
 SHINGLE = 3
 RADIUS = 3
@@ -211,13 +212,17 @@ def simhash_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, samp
     return routed.groupBy("leaf").applyInArrow(_shard_links(radius), "a long, b long")
 
 
-def _classes(rows: DataFrame, radius: int, shard: int) -> tuple[DataFrame, DataFrame]:
+def _classes(rows: DataFrame, radius: int, shard: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """rows (doc_id, text, _rid) -> (_rid, doc_id, fp) and (fp, component_id,
-    root, stays): stays is the _rid of the row of the component that stays."""
+    root, stays): stays is the _rid of the row of the component that stays.
+    With a similarity, rows must be written."""
     marks = write_table(rows.select("doc_id", "text", "_rid").mapInArrow(_fingerprints, "_rid long, doc_id long, fp long"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid"))
     fps = write_table(marks.groupBy("fp").agg(first.alias("first")), "distinct")
-    roots = components(simhash_links(fps.select("fp"), radius, shard))
+    links = simhash_links(fps.select("fp"), radius, shard)
+    if similarity is not None:
+        links = similar_links(rows, marks, write_table(links, "links"), similarity)
+    roots = components(links)
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
     return marks, rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first._rid").alias("stays"))
@@ -237,11 +242,13 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, id_
     return marks.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of docs, with all their columns, without those of a component
     that are not its first: the smallest doc_id stays, nulls being last, and of
-    repeated rows one."""
+    repeated rows one. With a similarity, texts whose five-word shingles have
+    at least that Jaccard similarity are linked too, however far apart their
+    fingerprints are."""
     rows = numbered(docs)
-    marks, classes = _classes(rows.select(F.col("row")[id_col].cast("long").alias("doc_id"), F.col("row")[text_col].alias("text"), "_rid"), radius, shard)
+    marks, classes = _classes(rows.select(F.col("row")[id_col].cast("long").alias("doc_id"), F.col("row")[text_col].alias("text"), "_rid"), radius, shard, similarity)
     gone = marks.join(classes, "fp").where("_rid <> stays").select("_rid")
     return rows.join(gone, "_rid", "left_anti").select("row.*")

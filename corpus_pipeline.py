@@ -6,7 +6,9 @@ columns of documents.
 
 1. quality: documents that the quality classifier scores under 0.3 go.
 2. exact: of texts that are equal but for A-Z case, the largest doc_id stays.
-3. near: of each component of SimHash links, the smallest doc_id stays.
+3. near: of each component of near copies, the smallest doc_id stays. Linked
+   are texts whose five-word shingles have a Jaccard similarity of 0.8 or more,
+   and texts whose SimHash fingerprints are within 3 bits.
 4. substring: words in a repeat of 13 words or more go from all documents but
    the earliest that has it; a document that loses every word goes. One that
    loses some has its other words joined by one space, and n_chars anew.
@@ -25,6 +27,7 @@ from blockcodec.llm.exact_dedup import kept_rows
 from blockcodec.llm.packing import pack_documents
 from blockcodec.llm.quality import document_statistics, fit_quality, keep_quality
 from blockcodec.llm.queries import tokenizer_file
+from blockcodec.llm.shingles import SIMILARITY
 from blockcodec.llm.simhash import one_of_each
 from blockcodec.llm.substring_dedup import substring_dedup
 
@@ -40,7 +43,7 @@ def exact_stage(spark, docs, sf_dir):
 
 
 def near_stage(spark, docs, sf_dir):
-    return one_of_each(docs)
+    return one_of_each(docs, similarity=SIMILARITY)
 
 
 def substring_stage(spark, docs, sf_dir):
