@@ -7,6 +7,8 @@ the shared folder; nothing but one row of counts comes to the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
     is not the least of its component; root is the least."""
     links = write_table(links.where("a <> b").select("a", "b").distinct(), "links0")
     before = None
-    for k in range(1, 200):
+    for k in count(1):
         links = write_table(_small_star(_large_star(links)), f"links{k}")
         # Both steps leave a forest of stars unchanged, and change anything else.
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
