@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
 
-Every round is two joins and two aggregates over the links and is written to
-the shared folder; nothing but one row of counts comes to the driver.
+Every round is written to the shared folder; nothing but one row of counts comes
+to the driver. A node with very many neighbours is one key of the joins, which
+Spark's skew join takes apart.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import write_table
 
 
+#: Pairs of steps between two tables that are written.
+STEPS = 2
+
+
 def _both(links: DataFrame) -> DataFrame:
     return links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -40,7 +45,9 @@ def components(links: DataFrame) -> DataFrame:
     links = write_table(links.where("a <> b").select("a", "b").distinct(), "links0")
     before = None
     for k in count(1):
-        links = write_table(_small_star(_large_star(links)), f"links{k}")
+        for _ in range(STEPS):
+            links = _small_star(_large_star(links))
+        links = write_table(links, f"links{k}")
         # Both steps leave a forest of stars unchanged, and change anything else.
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

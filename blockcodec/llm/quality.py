@@ -74,6 +74,12 @@ def _stats(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "stats"])
 
 
+def _labelled_stats(batches):
+    for batch in batches:
+        found = next(_stats([batch.select(["doc_id", "text"])]))
+        yield pa.RecordBatch.from_arrays([found.column("doc_id"), found.column("stats"), batch.column("label").cast(pa.float64())], ["key", "stats", "label"])
+
+
 def document_statistics(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_stats, "doc_id long, stats array<double>")
@@ -146,13 +152,9 @@ def _solve(sums: np.ndarray, ridge: float) -> np.ndarray:
     return np.linalg.lstsq(a, sums[:, -1], rcond=None)[0]
 
 
-def fit(train: DataFrame, features: int = FEATURES, ridge: float = 1e-2, gamma: float = 0.04, seed: int = 17, train_rows: int = TRAIN_ROWS) -> Model:
-    """train: key (any type), stats and label 0/1. Where there are more than
-    train_rows rows, a hash of the key picks about so many. With no rows, or
-    one class only, every score is the share of label 1 (0.5 without rows)."""
-    rows = train.count()
-    mix = F.pmod(F.xxhash64("key", F.lit("quality")), F.lit(1 << 20))
-    train = train.where(mix < int(min(1, train_rows / max(1, rows)) * (1 << 20)))
+def fit(train: DataFrame, features: int = FEATURES, ridge: float = 1e-2, gamma: float = 0.04, seed: int = 17) -> Model:
+    """train: key (any type), stats and label 0/1. With no rows, or one class
+    only, every score is the share of label 1 (0.5 without rows)."""
     train = train.select("stats", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(2)).cast("int").alias("fold"))
     train = write_table(train.repartition(16), "train")
     s = F.col("stats")
@@ -185,12 +187,30 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, label: str = "quality", **options) -> Model:
-    """From document_statistics() and labels (doc_id, label), without the held
-    out rows; a null doc_id or label teaches nothing."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
-    train = stats.where(~held_out(F.col("doc_id"))).join(known, "doc_id")
-    return fit(train.select(F.col("doc_id").alias("key"), "stats", "label"), **options)
+def _sampled(df: DataFrame, key: str, train_rows: int) -> DataFrame:
+    """About train_rows of the rows, picked by a hash of the key; all of them
+    where there are no more."""
+    share = min(1, train_rows / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(key, F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def labelled_rows(labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id and label of the rows to learn from: no held out row, no null
+    doc_id or label, and about train_rows at most."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
+    return _sampled(known.where(~held_out(F.col("doc_id"))), "doc_id", train_rows)
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """key, stats, label: statistics of the documents to learn from only."""
+    known = labelled_rows(labels, label, train_rows)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+    return some.mapInArrow(_labelled_stats, "key long, stats array<double>, label double")
+
+
+def fit_quality(train: DataFrame, **options) -> Model:
+    """From labelled_statistics(), or rows of that kind."""
+    return fit(train, **options)
 
 
 def _scores(model: Model):
@@ -202,7 +222,7 @@ def _scores(model: Model):
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS, **options) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
     score is from 0 to 1, higher for texts likelier to be labelled 1; null and
@@ -210,7 +230,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **
     its held_out is false. predicted is 1 from threshold on.
     """
     stats = write_table(document_statistics(docs), "stats")
-    model = fit_quality(stats, labels, **options)
+    known = labelled_rows(labels, train_rows=train_rows)
+    model = fit_quality(stats.join(known, "doc_id").select(F.col("doc_id").alias("key"), "stats", F.col("label").cast("double").alias("label")), **options)
     scored = stats.mapInArrow(_scores(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -226,5 +247,6 @@ def _passing(model: Model, text_col: str, threshold: float):
 
 def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score threshold or more:
-    one pass that moves no text."""
+    one pass that moves no text. A null text is scored as an empty one, null
+    and repeated doc_ids like any other row."""
     return docs.mapInArrow(_passing(model, text_col, threshold), docs.schema)

@@ -3,11 +3,18 @@
 Candidates are documents that agree on a band of MinHash values; a candidate
 counts only if the exact similarity of the two shingle sets is high enough. A
 bucket of a band is not taken apart into all its pairs: its members are first
-compared with one of them, and only those that are then still in different
-components are compared with each other.
-
-A pair at similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS:
-0.999997 at 0.8, and more above it.
+compared with one of them. Of those that are then still in different
+components, the members of a small bucket are compared with each other. Those
+of larger buckets, which a passage common to many texts makes, get finer bands,
+which unrelated texts hardly ever share, and a sketch of one bit for each
+MinHash value, which rules out most of what is not similar enough before any
+text is moved.
+
+A pair at similarity s shares a band with probability 1 - (1 - s**rows)**bands:
+0.999997 at 0.8 for the first bands, 0.999998 for the finer ones, and more above
+it. At 0.33, as of texts whose half is common, it is 0.25 and 0.0003. Sketches
+of a pair at 0.8 differ in more than far() bits with probability 3e-7; at 0.7 in
+fewer with probability 0.006.
 """
 
 from __future__ import annotations
@@ -24,10 +31,15 @@ from .substring_dedup import Hashes, rolled
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-#: Shingles that are hashed at a time, and words whose hashes are kept.
-STEP, KNOWN_WORDS = 4096, 1 << 20
+FINE_BANDS, FINE_ROWS = 192, 12
+#: Members of a bucket that are compared with each other without finer bands.
+SMALL = 32
+#: Hashes taken at a time, and words whose hashes are kept.
+STEP, KNOWN_WORDS = 1 << 20, 1 << 20
 
-_FACTORS, _ADDENDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+# The factor and the addend of each MinHash function.
+_COARSE = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+_FINE = np.random.default_rng(6).integers(0, 1 << 64, (2, FINE_BANDS * FINE_ROWS), np.uint64) | np.uint64(1)
 
 
 def shingles(text, cache: Hashes, width: int = WIDTH) -> np.ndarray:
@@ -40,29 +52,48 @@ def shingles(text, cache: Hashes, width: int = WIDTH) -> np.ndarray:
     return np.unique(rolled(h, min(width, len(h)))) if len(h) else h
 
 
-def bands(found: np.ndarray) -> np.ndarray:
+def minhash(found: np.ndarray, functions: np.ndarray = _COARSE) -> np.ndarray:
+    """The least value of each function over the shingles."""
+    factors, addends = functions
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, STEP // len(factors))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(found), step):
+            least = np.minimum(least, (found[at : at + step, None] * factors + addends).min(axis=0))
+    return least
+
+
+def bands(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A hash of each band of MinHash values."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    out = np.zeros(BANDS, np.uint64)
+    out = np.zeros(len(least) // rows, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(found), STEP):
-            least = np.minimum(least, (found[at : at + STEP, None] * _FACTORS + _ADDENDS).min(axis=0))
-        for row in least.reshape(BANDS, ROWS).T:
+        for row in least.reshape(-1, rows).T:
             out = mix64(out * np.uint64(3) + row)
     return out
 
 
+def far(similarity: float) -> int:
+    """How many bits the sketches of a pair of that similarity differ in, and
+    five standard deviations more."""
+    n, p = FINE_BANDS * FINE_ROWS, (1 - similarity) / 2
+    return int(n * p + 5 * (n * p * (1 - p)) ** 0.5)
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _banded(batches):
+def _finer(batches):
     cache = Hashes()
     for batch in batches:
-        found = [shingles(t, cache) for t in batch.column("text").to_pylist()]
-        keys = [bands(s).view(np.int64) if len(s) else [] for s in found]
-        yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array([len(s) for s in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["_rid", "size", "bands"])
+        keys, sketches = [], []
+        for t in batch.column("text").to_pylist():
+            least = minhash(shingles(t, cache), _FINE)
+            keys.append(bands(least, FINE_ROWS).view(np.int64))
+            sketches.append(np.packbits((mix64(least) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(keys, longs), pa.array(sketches, longs)], ["_rid", "bands", "sketch"])
 
 
 def _verified(similarity):
@@ -79,34 +110,41 @@ def _verified(similarity):
     return run
 
 
-def similar_links(rows: DataFrame, marks: DataFrame, links: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """links (a, b) among fingerprints, and those that connect the fingerprints
-    of texts whose shingles have at least the similarity. rows: _rid, text;
-    marks: _rid, fp."""
-    banded = write_table(rows.select("_rid", "text").mapInArrow(_banded, "_rid long, size int, bands array<long>"), "bands")
-    members = banded.join(marks.select("_rid", "fp"), "_rid").select("_rid", "fp", "size", F.posexplode("bands").alias("band", "key"))
-
-    def apart(members, links):
-        """The members of buckets that are in several components, with their root."""
-        roots = components(links).withColumnRenamed("node", "fp")
-        rooted = members.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        return write_table(rooted.join(mixed.select("band", "key"), ["band", "key"]), "members")
+def similar_links(marks: DataFrame, texts: DataFrame, links: DataFrame, radius: int, similarity: float = SIMILARITY) -> DataFrame:
+    """links (a, b) among fingerprints, those within the radius, and those that
+    connect the fingerprints of texts whose shingles have at least the
+    similarity. marks, written: _rid, fp, size (shingles) and bands, null for a
+    text without words; texts: _rid, text."""
 
     def verify(pairs):
         """The links of pairs (a, b: members) that are similar. Sizes alone
-        rule out what could not be."""
+        rule out what could not be; what is within the radius is linked."""
         could = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
-        ids = pairs.where(could).select(F.col("a._rid").alias("a"), F.col("b._rid").alias("b"), F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b")).distinct()
-        text = {c: rows.select(F.col("_rid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"}
-        texts = ids.join(text["b"], "b").join(text["a"], "a").select("a", "text_a", "text_b", "fp_a", "fp_b")
-        return write_table(texts.mapInArrow(_verified(similarity), "fp_a long, fp_b long").toDF("a", "b").distinct(), "similar")
-
-    member = F.struct("_rid", "size", "fp", "root")
-    left = apart(members, links)
-    first = left.groupBy("band", "key").agg(F.min(member).alias("a"))
-    pairs = left.select("band", "key", member.alias("b")).join(first, ["band", "key"]).where("a.root <> b.root")
-    links = links.unionAll(verify(pairs))
-    left = apart(left, links)
-    pairs = left.select("band", "key", member.alias("a")).join(left.select("band", "key", member.alias("b")), ["band", "key"]).where("a.root < b.root")
-    return links.unionAll(verify(pairs))
+        new = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) > radius
+        ids = pairs.where(could & new).select(F.col("a._rid").alias("a"), F.col("b._rid").alias("b"), F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b")).distinct()
+        text = {c: texts.select(F.col("_rid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"}
+        both = ids.join(text["b"], "b").join(text["a"], "a").select("a", "text_a", "text_b", "fp_a", "fp_b")
+        return write_table(both.mapInArrow(_verified(similarity), "fp_a long, fp_b long").toDF("a", "b").distinct(), "similar")
+
+    member, bucket = F.struct("_rid", "size", "fp"), ["band", "key"]
+    banded = marks.where("bands is not null").select("_rid", "fp", "size", F.posexplode("bands").alias("band", "key"))
+    first = banded.groupBy(*bucket).agg(F.min(member).alias("a"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    links = links.unionAll(verify(banded.select(*bucket, member.alias("b")).join(first, bucket)))
+
+    # The members of buckets that are in several components, with their root.
+    roots = components(links).withColumnRenamed("node", "fp")
+    rooted = banded.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = rooted.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    left = write_table(rooted.join(mixed.select(*bucket, "n"), bucket), "members")
+
+    def each(rows, *more):
+        member = F.struct("_rid", "size", "fp", "root", *more)
+        pairs = rows.select(*bucket, member.alias("a")).join(rows.select(*bucket, member.alias("b")), bucket)
+        return pairs.where("a.root < b.root")
+
+    links = links.unionAll(verify(each(left.where(F.col("n") <= SMALL))))
+    large = left.where(F.col("n") > SMALL).select("_rid", "fp", "size", "root").distinct()
+    fine = large.select("_rid").join(texts, "_rid").mapInArrow(_finer, "_rid long, bands array<long>, sketch array<long>")
+    finer = write_table(large.join(fine, "_rid"), "finer").select("_rid", "fp", "size", "root", "sketch", F.posexplode("bands").alias("band", "key"))
+    differ = F.expr("aggregate(zip_with(a.sketch, b.sketch, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+    return links.unionAll(verify(each(finer, "sketch").where(differ <= far(similarity))))

@@ -1,12 +1,18 @@
 """SimHash near-dedup by vantage-point trees.
 
 Documents become 64-bit fingerprints; equal fingerprints collapse to one row
-before any search. Distinct fingerprints are partitioned by their Hamming
-distance to vantage points (a top tree made from a bounded sample), and each
-fingerprint also visits the shards whose boundary is within the radius, so that
-every close pair meets in at least one shard. A shard builds its own tree and
-prunes branches by the triangle inequality; it reports a spanning forest of the
-pairs it finds, never all pairs of a group.
+before any search. Of two that differ in at most 3 bits, the halves of 32 bits
+differ in at most 1 on one side or the other; so the search is made once for
+each half, with a radius of 1, in which vantage points prune far more than with
+a radius of 3 over all bits.
+
+For a half, fingerprints are partitioned by its Hamming distance to vantage
+points (a top tree made from a sample), and each also visits the shards whose
+boundary is within the radius, so that every close pair meets in at least one
+shard. A shard builds its own tree and prunes branches by the triangle
+inequality; where a half tells nothing apart, by all bits. What is left is
+compared in full. A shard reports a spanning forest of the pairs it finds,
+never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -18,17 +24,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import numbered, to_bytes, with_row_id, write_table
+from .common import to_bytes, with_row_id, write_table
 from .components import components
-from .shingles import similar_links
+from .shingles import bands, minhash, shingles, similar_links
+from .substring_dedup import Hashes
 
 SHINGLE = 3
 RADIUS = 3
 LEAF = 64
-#: Bounds the sample that the top tree is made from. Only balance depends on it.
-SAMPLE = 8192
-SHARD = 40_000
+#: Fingerprints of a shard, and how many sampled ones stand for a shard in the
+#: making of the top tree: one in 2,500 goes to the driver. Only the balance of
+#: shards depends on the sample, no link does.
+SHARD, SAMPLE = 40_000, 16
+ALL = (1 << 64) - 1
+HALVES = ((1 << 32) - 1, ALL ^ ((1 << 32) - 1))
 
 
 #: A byte spread over eight byte lanes of a word, lowest bit first.
@@ -65,31 +76,36 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_rid"), batch.column("doc_id"), pa.array(fps, pa.int64())], ["_rid", "doc_id", "fp"])
 
 
-def _distance(x: np.ndarray, v) -> np.ndarray:
-    return np.bitwise_count(x ^ np.uint64(v)).astype(np.int16)
+def _distance(x: np.ndarray, v, mask=ALL) -> np.ndarray:
+    """Differing bits among those of the mask."""
+    return np.bitwise_count((x ^ np.uint64(v)) & np.uint64(mask)).astype(np.int16)
 
 
-def top_tree(sample: np.ndarray, leaves: int, seed: int = 7):
-    """A nested tuple (vantage, mu, inside, outside), or a leaf number. The
-    vantage point is the candidate whose distances spread most."""
+def top_tree(sample: np.ndarray, leaves: int, radius: int, mask: int = ALL, seed: int = 7, wide: int = RADIUS):
+    """A nested tuple (vantage, mask, radius, mu, inside, outside), or a leaf
+    number. The vantage point is the candidate whose distances spread most;
+    where the mask's bits are all alike, all bits count, with the wide radius."""
     rng, count = np.random.default_rng(seed), [0]
 
     def grow(x, k):
-        if k > 1 and len(x) >= 2 * LEAF:
+        if k > 1 and len(x) >= SAMPLE:
             picks = rng.choice(x, min(16, len(x)), replace=False)
-            v = max(picks, key=lambda p: float(_distance(x, p).std()))
-            d = _distance(x, v)
-            mu = int(np.median(d))
-            inside = d <= mu
-            if 0 < inside.sum() < len(x):
-                return (int(v), mu, grow(x[inside], k // 2), grow(x[~inside], k - k // 2))
+            for m, r in ((mask, radius), (ALL, wide)):
+                v = max(picks, key=lambda p: float(_distance(x, p, m).std()))
+                d = _distance(x, v, m)
+                mu = int(np.median(d))
+                for cut in (mu, mu - 1):
+                    inside = d <= cut
+                    if 0 < inside.sum() < len(x):
+                        share = min(k - 1, max(1, round(k * float(inside.mean()))))
+                        return (int(v), m, r, cut, grow(x[inside], share), grow(x[~inside], k - share))
         count[0] += 1
         return count[0] - 1
 
     return grow(sample, leaves)
 
 
-def route(tree, fps: np.ndarray, radius: int):
+def route(tree, fps: np.ndarray):
     """(index, leaf, is home): all shards that a ball around each fingerprint
     can reach; exactly one is its home."""
     out = []
@@ -100,8 +116,8 @@ def route(tree, fps: np.ndarray, radius: int):
         if not isinstance(node, tuple):
             out.append((idx, np.full(len(idx), node), home))
             return
-        v, mu, inside, outside = node
-        d = _distance(fps[idx], v)
+        v, mask, radius, mu, inside, outside = node
+        d = _distance(fps[idx], v, mask)
         near, far = d - radius <= mu, d + radius > mu
         go(inside, idx[near], home[near] & (d[near] <= mu))
         go(outside, idx[far], home[far] & (d[far] > mu))
@@ -112,8 +128,9 @@ def route(tree, fps: np.ndarray, radius: int):
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def close_links(home: np.ndarray, queries: np.ndarray, radius: int):
-    """Links (query, home) that connect whatever lies within the radius.
+def close_links(home: np.ndarray, queries: np.ndarray, radius: int, mask: int = ALL, part: int | None = None):
+    """Links (query, home) that connect whatever lies within the radius over
+    all bits and within part (default: the radius) over those of the mask.
 
     A vantage-point tree over home, walked by all queries at once: a branch is
     left out for the queries that the triangle inequality excludes. In a leaf
@@ -121,38 +138,45 @@ def close_links(home: np.ndarray, queries: np.ndarray, radius: int):
     of its pattern, and each distinct pattern is chained once.
     """
     rng, a, b = np.random.default_rng(11), [], []
+    views = [(mask, radius if part is None else part)] + ([(ALL, radius)] if mask != ALL else [])
 
     def leaf(idx, q):
         members = home[idx]
         for at in range(0, len(members), LEAF):
             m = members[at : at + LEAF]
-            hit = np.bitwise_count(queries[q][:, None] ^ m[None, :]) <= radius
-            hit &= queries[q][:, None] != m[None, :]
-            rows = hit.any(axis=1)
-            if rows.any():
-                hit, who = hit[rows], queries[q[rows]]
-                a.append(who)
-                b.append(m[hit.argmax(axis=1)])
-                packed = np.unique(np.packbits(hit, axis=1), axis=0)
-                for bits in np.unpackbits(packed, axis=1)[:, : len(m)]:
-                    own = m[bits.astype(bool)]
-                    a.append(own[1:])
-                    b.append(own[:-1])
+            for some in range(0, len(q), 1 << 16):
+                mine = queries[q[some : some + (1 << 16)]]
+                hit = np.bitwise_count(mine[:, None] ^ m[None, :]) <= radius
+                hit &= mine[:, None] != m[None, :]
+                rows = hit.any(axis=1)
+                if rows.any():
+                    hit, who = hit[rows], mine[rows]
+                    a.append(who)
+                    b.append(m[hit.argmax(axis=1)])
+                    packed = np.unique(np.packbits(hit, axis=1), axis=0)
+                    for bits in np.unpackbits(packed, axis=1)[:, : len(m)]:
+                        own = m[bits.astype(bool)]
+                        a.append(own[1:])
+                        b.append(own[:-1])
+
+    def split(x):
+        """(vantage, mask, radius, mu, inside) of a split that divides x."""
+        v = x[rng.integers(len(x))]
+        for m, r in views:
+            d = _distance(x, v, m)
+            mu = int(np.median(d))
+            for cut in (mu, mu - 1):
+                inside = d <= cut
+                if inside.any() and not inside.all():
+                    return v, m, r, cut, inside
+        return None
 
     def walk(idx, q):
-        while len(idx) > LEAF and len(q):
-            v = home[idx[rng.integers(len(idx))]]
-            d = _distance(home[idx], v)
-            mu = int(np.median(d))
-            inside = d <= mu
-            if inside.all():
-                mu -= 1
-                inside = d <= mu
-                if not inside.any():
-                    break  # all at one distance: no split by this vantage point
-            dq = _distance(queries[q], v)
-            walk(idx[inside], q[dq - radius <= mu])
-            idx, q = idx[~inside], q[dq + radius > mu]
+        while len(idx) > LEAF and len(q) and (found := split(home[idx])):
+            v, m, r, mu, inside = found
+            dq = _distance(queries[q], v, m)
+            walk(idx[inside], q[dq - r <= mu])
+            idx, q = idx[~inside], q[dq + r > mu]
         if len(q):
             leaf(idx, q)
 
@@ -179,20 +203,28 @@ def forest(a, b):
     return [(x, r) for x in root if (r := find(x)) != x]
 
 
-def _routes(tree, radius):
+def halves(radius: int):
+    """(mask, radius) of the searches: fingerprints within the radius are within
+    half of it, rounded down, in one half of the bits at least."""
+    return [(m, radius // 2) for m in HALVES]
+
+
+def _routes(trees):
     def run(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
-            idx, leaf, home = route(tree, fps, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(fps[idx].view(np.int64)), pa.array(home.astype(bool))], ["leaf", "fp", "home"])
+            for k, tree in enumerate(trees):
+                idx, leaf, home = route(tree, fps)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(fps[idx].view(np.int64)), pa.array(home.astype(bool))], ["half", "leaf", "fp", "home"])
 
     return run
 
 
 def _shard_links(radius):
-    def run(group: pa.Table) -> pa.Table:
+    def run(key, group):
         fps, home = group["fp"].to_numpy().view(np.uint64), group["home"].to_numpy()
-        a, b = close_links(fps[home], fps, radius)
+        mask, part = halves(radius)[key[0].as_py()]
+        a, b = close_links(fps[home], fps, radius, mask, part)
         found = forest(a.view(np.int64).tolist(), b.view(np.int64).tolist())
         cols = list(zip(*found)) or [(), ()]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
@@ -200,32 +232,52 @@ def _shard_links(radius):
     return run
 
 
-def simhash_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+def simhash_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) among distinct fingerprints fp that connect exactly those
-    within the radius of each other, directly or through others."""
+    within the radius of each other, directly or through others. fps must be
+    written; nulls may not be among them."""
     n = fps.count()
     leaves = max(1, -(-n // shard))
-    # The sample only places shard boundaries; a bad one costs balance, not links.
-    some = fps.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy().view(np.uint64) if leaves > 1 else np.zeros(0, np.uint64)
-    tree = top_tree(np.asarray(some), leaves)
-    routed = fps.mapInArrow(_routes(tree, radius), "leaf int, fp long, home boolean")
-    return routed.groupBy("leaf").applyInArrow(_shard_links(radius), "a long, b long")
+    # The sample grows with the number of shards, one value in shard / SAMPLE
+    # (twice as many are asked for, so that every leaf has enough).
+    share = min(1.0, 2 * SAMPLE / shard)
+    some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20))) if leaves > 1 else fps.limit(0)
+    sample = np.sort(some.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
+    trees = [top_tree(sample, leaves, r, m, wide=radius) for m, r in halves(radius)]
+    routed = fps.mapInArrow(_routes(trees), "half int, leaf int, fp long, home boolean")
+    return routed.groupBy("half", "leaf").applyInArrow(_shard_links(radius), "a long, b long")
 
 
-def _classes(rows: DataFrame, radius: int, shard: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """rows (doc_id, text, _rid) -> (_rid, doc_id, fp) and (fp, component_id,
-    root, stays): stays is the _rid of the row of the component that stays.
-    With a similarity, rows must be written."""
-    marks = write_table(rows.select("doc_id", "text", "_rid").mapInArrow(_fingerprints, "_rid long, doc_id long, fp long"), "fingerprints")
+def _marked(id_at: int, text_at: int, banded: bool):
+    """(_rid, row) -> (_rid, doc_id, fp, size, bands, row)."""
+
+    def run(batches):
+        cache = Hashes()
+        for batch in batches:
+            row = batch.column("row")
+            texts = row.field(text_at).to_pylist()
+            fps = [_signed(fingerprint(t)) for t in texts]
+            found = [shingles(t, cache) for t in texts] if banded else [()] * len(texts)
+            keys = [bands(minhash(x)).view(np.int64) if len(x) else None for x in found]
+            cols = [batch.column("_rid"), row.field(id_at).cast(pa.int64()), pa.array(fps, pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(keys, pa.list_(pa.int64())), row]
+            yield pa.RecordBatch.from_arrays(cols, ["_rid", "doc_id", "fp", "size", "bands", "row"])
+
+    return run
+
+
+def _classes(marks: DataFrame, radius: int, shard: int, texts: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
+    """marks (_rid, doc_id, fp), written -> (fp, component_id, stays): stays is
+    the _rid of the row of the component that stays. With a similarity, marks
+    have bands too, and texts is (_rid, text)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid"))
     fps = write_table(marks.groupBy("fp").agg(first.alias("first")), "distinct")
     links = simhash_links(fps.select("fp"), radius, shard)
     if similarity is not None:
-        links = similar_links(rows, marks, write_table(links, "links"), similarity)
+        links = similar_links(marks, texts, write_table(links, "links"), radius, similarity)
     roots = components(links)
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return marks, rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first._rid").alias("stays"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first._rid").alias("stays"))
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,17 +290,24 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, id_
     of nothing else gets. Repeated rows come out as often as they came in.
     """
     rows = with_row_id(docs, doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
-    marks, classes = _classes(rows, radius, shard)
+    marks = write_table(rows.select("doc_id", "text", "_rid").mapInArrow(_fingerprints, "_rid long, doc_id long, fp long"), "fingerprints")
+    classes = _classes(marks, radius, shard)
     return marks.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of docs, with all their columns, without those of a component
     that are not its first: the smallest doc_id stays, nulls being last, and of
-    repeated rows one. With a similarity, texts whose five-word shingles have
-    at least that Jaccard similarity are linked too, however far apart their
-    fingerprints are."""
-    rows = numbered(docs)
-    marks, classes = _classes(rows.select(F.col("row")[id_col].cast("long").alias("doc_id"), F.col("row")[text_col].alias("text"), "_rid"), radius, shard, similarity)
-    gone = marks.join(classes, "fp").where("_rid <> stays").select("_rid")
-    return rows.join(gone, "_rid", "left_anti").select("row.*")
+    repeated rows one. Null and empty texts are one component. With a
+    similarity, texts whose five-word shingles have at least that Jaccard
+    similarity are linked too, however far apart their fingerprints are.
+
+    One pass over the texts writes rows, fingerprints and bands together."""
+    at = (docs.columns.index(id_col), docs.columns.index(text_col))
+    fields = [StructField(n, t) for n, t in (("_rid", LongType()), ("doc_id", LongType()), ("fp", LongType()), ("size", IntegerType()), ("bands", ArrayType(LongType())))]
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("row"))
+    marked = write_table(rows.mapInArrow(_marked(*at, similarity is not None), StructType([*fields, StructField("row", docs.schema, False)])), "marked")
+    classes = _classes(marked.drop("row"), radius, shard, marked.select("_rid", F.col("row")[text_col].alias("text")), similarity)
+    # Both sides may be of any size: a merge join, whatever is measured of them.
+    gone = marked.select("_rid", "fp").join(classes, "fp").where("_rid <> stays").select("_rid")
+    return marked.select("_rid", "row").join(gone.hint("merge"), "_rid", "left_anti").select("row.*")

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline as P
 import numpy as np
+import pyarrow as pa
 
 from blockcodec.llm import shingles as H
 from blockcodec.llm.simhash import fingerprint, one_of_each
@@ -72,3 +73,33 @@ def test_near_stage_drops_word_edits_beyond_three_bits(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in P.near_stage(spark, df, "").collect()) == want
     assert sorted(r["doc_id"] for r in one_of_each(df).collect()) == thin
+
+
+def test_a_passage_that_many_texts_share(spark, monkeypatch):
+    """Texts whose better half is one passage: their buckets are large, finer
+    bands tell them apart, and links are still all found."""
+    rng = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    passage = [rng.choice(vocabulary) for _ in range(120)]
+    rows = [" ".join(passage + [rng.choice(vocabulary) for _ in range(rng.randint(60, 90))]) for _ in range(150)]
+    rows += [edited(rng, rng.choice(rows).split(), 2) for _ in range(30)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(H, "SMALL", 8)
+    sets = {t: plain_shingles(t) for _, t in rows}
+    marks = {t: fingerprint(t) for _, t in rows}
+    want = kept(rows, lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 3 or jaccard(sets[a], sets[b]) >= 0.8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in P.near_stage(spark, df, "").collect()) == want and len(want) < len(rows)
+
+
+def test_sketches_of_similar_texts_are_near():
+    rng = random.Random(3)
+    near, apart = [], []
+    for _ in range(60):
+        base = [f"v{rng.randrange(5000)}" for _ in range(300)]
+        for n, out in ((5, near), (30, apart)):
+            a, b = (next(H._finer([pa.RecordBatch.from_pydict({"_rid": [1], "text": [t]})]))["sketch"][0].as_py() for t in (" ".join(base), edited(rng, base, n)))
+            out.append(sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(a, b)))
+            assert len(a) * 64 == H.FINE_BANDS * H.FINE_ROWS
+    assert max(near) <= H.far(0.8) < min(apart)

@@ -56,12 +56,19 @@ def test_tree_finds_what_brute_force_finds():
         a, b = S.close_links(fps, fps, 3)
         assert (np.bitwise_count(a ^ b) <= 6).all()
         assert dict(S.forest(a.tolist(), b.tolist())) == want
-        tree = S.top_tree(fps[::3], 5)
-        idx, leaf, home = S.route(tree, fps, 3)
+        tree = S.top_tree(fps[::3], 5, 3)
+        idx, leaf, home = S.route(tree, fps)
         assert sorted(idx[home].tolist()) == list(range(n))
         found = [S.close_links(fps[idx[(leaf == k) & home]], fps[idx[leaf == k]], 3) for k in np.unique(leaf)]
         a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint64) for i in (0, 1))
         assert dict(S.forest(a.tolist(), b.tolist())) == want
+        found = []
+        for mask, part in S.halves(3):
+            idx, leaf, home = S.route(S.top_tree(fps[::3], 9, part, mask), fps)
+            assert sorted(idx[home].tolist()) == list(range(n))
+            found += [S.close_links(fps[idx[(leaf == k) & home]], fps[idx[leaf == k]], 3, mask, part) for k in np.unique(leaf)]
+        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint64) for i in (0, 1))
+        assert dict(S.forest(a.tolist(), b.tolist())) == want
 
 
 def test_components_of_a_long_chain(spark):
@@ -104,3 +111,38 @@ def test_nulls_and_empty(spark):
     assert sorted(str(r["component_id"]) for r in got) == ["4", "4", "4", "None"]
     assert sorted(str(r["doc_id"]) for r in S.one_of_each(df).collect()) == ["4", "None"]
     assert S.simhash_dedup(df.limit(0)).collect() == [] and S.one_of_each(df.limit(0)).collect() == []
+
+
+def test_as_many_shards_as_asked():
+    """The sample grows with the shards, so no shard grows with the data."""
+    rng = np.random.default_rng(1)
+    for leaves in (10, 300, 3000):
+        sample = rng.integers(0, 1 << 64, 2 * S.SAMPLE * leaves, np.uint64)
+        fps = rng.integers(0, 1 << 64, 100 * leaves, np.uint64)
+        for mask, part in S.halves(3):
+            _, leaf, home = S.route(S.top_tree(sample, leaves, part, mask), fps)
+            sizes = np.bincount(leaf[home], minlength=leaves)
+            assert len(sizes) == leaves and sizes.min() > 0 and sizes.max() < 400
+
+
+def test_equal_halves_are_split_by_all_bits():
+    """Many fingerprints with one lower half: the mask tells nothing apart."""
+    rng = np.random.default_rng(2)
+    high = rng.integers(0, 1 << 32, 4000, np.uint64) << np.uint64(32)
+    fps = np.unique(np.concatenate([high, high[:500] ^ np.uint64(1 << 40)]) | np.uint64(7))
+    mask, part = S.halves(3)[0]
+    tree = S.top_tree(fps, 20, part, mask)
+    idx, leaf, home = S.route(tree, fps)
+    assert len(np.unique(leaf)) >= 15
+    a, b = S.close_links(fps, fps, 3, mask, part)
+    pairs = [(int(x), int(y)) for k, x in enumerate(fps) for y in fps[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ x) <= 3]]
+    assert dict(S.forest(a.tolist(), b.tolist())) == dict(S.forest([x for x, _ in pairs], [y for _, y in pairs]))
+
+
+def test_long_text_and_ties(spark):
+    long_ = " ".join(f"w{k % 7919}x{k % 13}" for k in range(150_000))
+    rows = [(3, long_), (1, long_), (1, long_), (2, long_ + " one more"), (5, "other text of its own")]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, component_id string")
+    assert len(long_) > 1 << 20
+    assert sorted(r["component_id"] for r in S.simhash_dedup(df).collect()) == [1, 1, 1, 1, 5]
+    assert sorted(r["doc_id"] for r in S.one_of_each(df, similarity=0.8).collect()) == [1, 5]

@@ -4,7 +4,11 @@ import re
 
 import pytest
 
-from blockcodec.llm.substring_dedup import NO_ID, substring_dedup
+from blockcodec.llm import common
+from blockcodec.llm import substring_dedup as D
+from blockcodec.llm.substring_dedup import substring_dedup
+
+NO_ID = 1 << 63  # after every doc_id
 
 
 def brute(rows, window=13):
@@ -50,7 +54,7 @@ def test_against_brute_force(spark, vocabulary, block):
 
 def test_edges(spark):
     line = " ".join(f"x{i}" for i in range(13))
-    rows = [(5, line), (3, line + " more"), (9, "A " + line), (None, line), (None, line), (4, None), (6, ""), (7, " \n"), (8, line.replace(" ", " ")), (2, line[:-1]), (3, line), (11, line + " " + line), (12, "é " * 40)]
+    rows = [(5, line), (3, line + " more"), (9, "A " + line), (None, line), (None, line), (4, None), (6, ""), (7, " \n"), (8, line.replace(" ", " ")), (2, line[:-1]), (2**63 - 1, "B " + line), (3, line), (11, line + " " + line), (12, "é " * 40)]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
 
@@ -66,3 +70,39 @@ def test_carry(spark):
     df = spark.createDataFrame([(1, f"a\n{line}", "k"), (2, f"b  c\n{line}", "k"), (3, line, None)], "doc_id long, text string, kept_text string")
     got = {r["doc_id"]: (r["kept_text"], r["row"]["text"], r["row"]["kept_text"]) for r in substring_dedup(df, carry=True).collect()}
     assert got == {1: (None, f"a\n{line}", "k"), 2: ("b c", f"b  c\n{line}", "k"), 3: ("", line, None)}
+
+
+def test_the_largest_doc_id_is_before_none(spark):
+    line = " ".join(f"x{i}" for i in range(13))
+    rows = [(2**63 - 1, line), (None, line), (None, line)]
+    assert run(spark, rows) == brute(rows)
+    only = [(None, line), (None, line + " " + line)]
+    assert run(spark, only) == brute(only) and all(r[2] == 0 for r in brute(only))
+
+
+def test_more_blocks_than_buckets(spark, monkeypatch):
+    """Spark takes 100,000 buckets at most; then a bucket has several blocks."""
+    monkeypatch.setattr(common, "MAX_BUCKETS", 3)
+    rows = corpus(5, 80, 30)
+    assert run(spark, rows, block_bytes=1000) == brute(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
+
+
+def test_windows_of_equal_first_hash_are_told_apart(spark, monkeypatch):
+    """Keys whose first 64 bits collide: the second hash decides."""
+    import numpy as np
+
+    keys, docs = np.array([7, 7, 7, 9], np.uint64), np.array([3, 1, 2, 5])
+    kinds, seconds = np.full(4, D.SOME, np.uint8), np.array([4, 8, 4, 4], np.uint64)
+    found = D.least_by(keys, docs, kinds, seconds, True)
+    assert list(zip(*(x.tolist() for x in found[:2]), found[3].tolist())) == [(7, 2, 4), (7, 1, 8), (9, 5, 4)]
+    blob = D.pack(found[0], found[3], found[1], found[2], found[4])
+    known, low, _, _ = D.lookup([blob], keys, np.array([4, 8, 5, 4], np.uint64))
+    assert known.tolist() == [True, True, False, True] and low[:2].tolist() == [2, 1]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(8)
+    long_ = " ".join(f"w{rng.randrange(50_000)}" for _ in range(200_000))
+    rows = [(1, long_), (2, long_[300_000:900_000]), (3, "a " + long_)]
+    assert len(long_) > 1 << 20 and run(spark, rows) == brute(rows)
