@@ -15,37 +15,55 @@ columns of documents.
 5. pack: what is left, packed into bins of 2,048 tokens.
 
 A null text counts as empty. Rows without a doc_id are kept apart from each
-other by their row, never dropped for the lack of it.
+other by their row, never dropped for the lack of it. An empty table goes
+through all stages as one; columns that documents have besides the usual ones
+stay with their rows.
+
+What a stage writes for itself goes when the next stage begins, so the shared
+folder holds one stage's working tables at a time.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
-from blockcodec.llm.common import table, write_table
+from blockcodec.llm.common import stage_scratch, table, write_table
 from blockcodec.llm.exact_dedup import kept_rows
 from blockcodec.llm.packing import pack_documents
-from blockcodec.llm.quality import document_statistics, fit_quality, keep_quality
+from blockcodec.llm.quality import fit_quality, keep_quality, labelled_statistics
 from blockcodec.llm.queries import tokenizer_file
 from blockcodec.llm.shingles import SIMILARITY
 from blockcodec.llm.simhash import one_of_each
 from blockcodec.llm.substring_dedup import substring_dedup
 
 
+def _stage(fn):
+    @wraps(fn)
+    def run_stage(spark, docs, sf_dir):
+        with stage_scratch(spark):
+            return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality_stage(spark, docs, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    stats = write_table(document_statistics(docs), "stats")
-    return keep_quality(docs, fit_quality(stats, labels))
+    return keep_quality(docs, fit_quality(labelled_statistics(docs, table(spark, sf_dir, "labels"))))
 
 
+@_stage
 def exact_stage(spark, docs, sf_dir):
     return kept_rows(docs)
 
 
+@_stage
 def near_stage(spark, docs, sf_dir):
     return one_of_each(docs, similarity=SIMILARITY)
 
 
+@_stage
 def substring_stage(spark, docs, sf_dir):
     found = substring_dedup(docs, carry=True)
     left = found.where("n_removed = 0 or n_removed < n_words")
@@ -55,6 +73,7 @@ def substring_stage(spark, docs, sf_dir):
     return left.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+@_stage
 def pack_stage(spark, docs, sf_dir):
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
