@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from . import exprs
 from .crc import combine, crc32c_many
-from .kernels import CodecError, compress, compress_fragment, decompress, frame, frame_writes, is_valid, split_chunks, tags, try_unframe, unframe
+from .kernels import KINDS, CodecError, compress, compress_fragment, decompress, frame_many, frame_writes, is_valid, split_chunks, try_unframe_many, unframe_many, walk
 
 RESULT = pa.struct([("ok", pa.bool_()), ("error", pa.string()), ("value", pa.binary())])
 UNFRAMED = pa.struct([("ok", pa.bool_()), ("error", pa.string()), ("error_chunk", pa.int32()), ("value", pa.binary())])
 TAGS = pa.list_(pa.struct([("tag_no", pa.int32()), ("at", pa.int32()), ("kind", pa.string()), ("length", pa.int64()), ("offset", pa.int64()), ("literal", pa.binary())]))
+SHAPES = pa.list_(pa.struct([f for f in TAGS.value_type if f.name != "literal"]))
 CHUNKS = pa.list_(pa.struct([("chunk_no", pa.int32()), ("at", pa.int64()), ("chunk_type", pa.int32()), ("body_len", pa.int32()), ("crc", pa.int64()), ("body", pa.binary()), ("error", pa.string())]))
 
 
@@ -25,6 +27,44 @@ def _mapped(fn, kind):
     return run
 
 
+def _mapped_many(fn, kind):
+    """The same for a function of many values at once."""
+
+    def run(col: pa.Array) -> pa.Array:
+        some = iter(fn([v.as_buffer() for v in col if v.is_valid]))
+        return pa.array([next(some) if v.is_valid else None for v in col], kind)
+
+    return run
+
+
+def _elements(literals: bool):
+    """The elements of blocks as Arrow columns, with the literals' bytes or
+    without."""
+
+    def run(col: pa.Array) -> pa.Array:
+        found, ends, parts, bytes_ = [np.zeros((4, 0), np.int64)], [0], [np.zeros(0, np.int32)], []
+        for v in col:
+            n = 0
+            if v.is_valid:
+                block = v.as_buffer()
+                for at, kind, length, offset, literal in walk(block):
+                    found.append(np.stack([at, kind, length, offset]))
+                    parts.append(np.arange(n, n + len(at), dtype=np.int32))
+                    n += len(at)
+                    if literals:
+                        bytes_ += [block[a : a + m].to_pybytes() if k == 0 else None for k, a, m in zip(kind.tolist(), literal.tolist(), length.tolist())]
+            ends.append(ends[-1] + n)
+        at, kind, length, offset = np.concatenate(found, axis=1)
+        copies = (kind > 0) & (kind < 4)
+        names = pa.array(KINDS).take(pa.array(kind))
+        cols = [pa.array(np.concatenate(parts)), pa.array(at.astype(np.int32)), names, pa.array(length), pa.array(offset, mask=~copies)]
+        shape = TAGS if literals else SHAPES
+        rows = pa.StructArray.from_arrays(cols + ([pa.array(bytes_, pa.binary())] if literals else []), fields=list(shape.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=col.is_null()).cast(shape)
+
+    return run
+
+
 def _try(block) -> dict:
     try:
         return dict(ok=True, error=None, value=decompress(block))
@@ -42,7 +82,7 @@ def chunk_rows(data) -> list[dict]:
 
 
 def _bytes(col) -> list:
-    return [v.as_buffer().to_pybytes() if v.is_valid else None for v in col]
+    return [v.as_buffer() if v.is_valid else None for v in col]
 
 
 def _crc(col: pa.Array) -> pa.Array:
@@ -86,10 +126,12 @@ snappy_compress_fragment = _udf(_mapped(compress_fragment, pa.binary()), pa.bina
 snappy_decompress = _udf(_mapped(decompress, pa.binary()), pa.binary())
 try_snappy_decompress = _udf(_mapped(_try, RESULT), RESULT)
 snappy_is_valid = _udf(_mapped(is_valid, pa.bool_()), pa.bool_())
-snappy_frame = _udf(_mapped(frame, pa.binary()), pa.binary())
-snappy_unframe = _udf(_mapped(unframe, pa.binary()), pa.binary())
-try_snappy_unframe = _udf(_mapped(try_unframe, UNFRAMED), UNFRAMED)
-snappy_tag_array = _udf(_mapped(tags, TAGS), TAGS)
+snappy_frame = _udf(_mapped_many(frame_many, pa.binary()), pa.binary())
+snappy_unframe = _udf(_mapped_many(unframe_many, pa.binary()), pa.binary())
+try_snappy_unframe = _udf(_mapped_many(try_unframe_many, UNFRAMED), UNFRAMED)
+snappy_tag_array = _udf(_elements(True), TAGS)
+#: The same without the bytes of literals.
+snappy_tag_shapes = _udf(_elements(False), SHAPES)
 snappy_chunk_array = _udf(_mapped(chunk_rows, CHUNKS), CHUNKS)
 crc32c = _udf(_crc, pa.int64())
 crc32c_append = _udf(_crc_append, pa.int64())
@@ -123,6 +165,7 @@ SQL_FUNCTIONS = {
     "snappy_unframe": snappy_unframe,
     "try_snappy_unframe": try_snappy_unframe,
     "snappy_tag_array": snappy_tag_array,
+    "snappy_tag_shapes": snappy_tag_shapes,
     "snappy_chunk_array": snappy_chunk_array,
     "crc32c": crc32c,
     "crc32c_append": crc32c_append,

@@ -127,11 +127,11 @@ def unmask_crc(masked) -> Column:
 
 
 def literal_tag(data: Column) -> Column:
-    """data (1 byte to 16 MB) as one literal element."""
+    """data (1 byte or more) as one literal element."""
     n = F.octet_length(data).cast("long") - 1
     short = F.unhex(_hex(n * 4, 2))
-    long_ = [F.concat(F.unhex(F.lit(f"{(59 + k) << 2:02X}")), le_bytes(n, k)) for k in (1, 2, 3)]
-    return F.concat(F.when(n < 60, short).when(n < 1 << 8, long_[0]).when(n < 1 << 16, long_[1]).otherwise(long_[2]), data)
+    long_ = [F.concat(F.unhex(F.lit(f"{(59 + k) << 2:02X}")), le_bytes(n, k)) for k in (1, 2, 3, 4)]
+    return F.concat(F.when(n < 60, short).when(n < 1 << 8, long_[0]).when(n < 1 << 16, long_[1]).when(n < 1 << 24, long_[2]).otherwise(long_[3]), data)
 
 
 def literal_block(data: Column) -> Column:
@@ -141,12 +141,13 @@ def literal_block(data: Column) -> Column:
 
 
 def copy_tag(offset: Column, length: Column) -> Column:
-    """A copy element: two bytes where length is 4 to 11 and offset below
-    2,048, else three (length to 64, offset below 65,536)."""
+    """A copy element of up to 64 bytes: two bytes where length is 4 to 11 and
+    offset below 2,048, three where offset is below 65,536, else five."""
     offset, length = _long(offset), _long(length)
     near = F.unhex(F.concat(_hex(F.shiftrightunsigned(offset, 8) * 32 + (length - 4) * 4 + 1, 2), _hex(offset.bitwiseAND(F.lit(255)), 2)))
     far = F.concat(F.unhex(_hex((length - 1) * 4 + 2, 2)), le_bytes(offset, 2))
-    return F.when(length.between(4, 11) & (offset < 2048), near).otherwise(far)
+    farther = F.concat(F.unhex(_hex((length - 1) * 4 + 3, 2)), le_bytes(offset, 4))
+    return F.when(length.between(4, 11) & (offset < 2048), near).when(offset < 1 << 16, far).otherwise(farther)
 
 
 def chunk(kind: Column, body: Column) -> Column:

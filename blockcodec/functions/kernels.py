@@ -98,43 +98,91 @@ def decompress(block) -> bytes:
         raise CodecError(CORRUPT_BLOCK) from None
 
 
+# Elements of a block. Where each possible element would end is looked up for
+# all bytes of a window at once; the elements there are follow from each other.
+
+WINDOW = 1 << 18
+KINDS = ("literal", "copy1", "copy2", "copy4", "invalid")
+_TAG = np.arange(256)
+#: Bytes of an element with the tag; 0 for literals whose length follows the tag.
+_SPAN = np.where(_TAG & 3, np.array([0, 2, 3, 5])[_TAG & 3], np.where(_TAG >> 2 < 60, (_TAG >> 2) + 2, 0))
+
+
+def _number(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Little-endian numbers of so many bytes; data has room behind them."""
+    out = np.zeros(len(at), np.int64)
+    for i in range(size):
+        out |= data[at + i].astype(np.int64) << (8 * i)
+    return out
+
+
+def walk(block):
+    """The elements of a block in bounded memory: for each window (at, kind,
+    length, offset, start of the literal). A truncated element is the last, of
+    kind 4 and length 0."""
+    whole = np.frombuffer(block, np.uint8)
+    at, n = uncompressed_length(block)[1], len(whole)
+    while at < n:
+        first, end = at, min(at + WINDOW, n)
+        data = np.concatenate([whole[first : end + 8], np.zeros(8, np.uint8)])
+        tag = data[: end - first]
+        step = _SPAN[tag]
+        long_ = np.nonzero(step == 0)[0]
+        extra = (tag[long_] >> 2).astype(np.int64) - 59
+        size = np.zeros(len(long_), np.int64)
+        for k in (1, 2, 3, 4):
+            of = extra == k
+            size[of] = _number(data, long_[of] + 1, k) + 1
+        step[long_] = 1 + extra + size
+        steps, places, i = step.tolist(), [], 0
+        while i < len(steps):
+            places.append(i)
+            i += steps[i]
+        at = first + i
+        places = np.array(places, np.int64)
+        tag = tag[places].astype(np.int64)
+        kind, length, offset, literal = tag & 3, (tag >> 2) + 1, np.zeros(len(tag), np.int64), np.zeros(len(tag), np.int64)
+        of = np.nonzero(kind == 0)[0]
+        more = np.maximum(length[of] - 60, 0)
+        length[of] = np.where(more > 0, step[places[of]] - 1 - more, length[of])
+        literal[of] = first + places[of] + 1 + more
+        of = kind == 1
+        length[of] = (tag[of] >> 2 & 7) + 4
+        for k, width in ((1, 1), (2, 2), (3, 4)):
+            of = kind == k
+            offset[of] = _number(data, places[of] + 1, width)
+        of = kind == 1
+        offset[of] |= tag[of] >> 5 << 8
+        if at > n:
+            kind[-1], length[-1], offset[-1] = 4, 0, 0
+        yield first + places, kind, length, offset, literal
+
+
 def is_valid(block) -> bool:
+    """Whether a block can be decoded; nothing is decoded."""
     try:
-        decompress(block)
+        declared, header = uncompressed_length(block)
     except CodecError:
         return False
-    return True
+    if declared > EXPANSION_LIMIT * (len(block) - header) or (declared == 0 and len(block) > header):
+        return False
+    produced = 0
+    for _, kind, length, offset, _ in walk(block):
+        before = produced + np.cumsum(length) - length
+        produced += int(length.sum())
+        if (kind == 4).any() or ((kind > 0) & ((offset == 0) | (offset > before))).any() or produced > declared:
+            return False
+    return produced == declared
 
 
 def tags(block) -> list[dict]:
     """The elements of a block as far as they can be read: tag_no, at, kind,
     length, offset, literal. A truncated or impossible element is the last, of
     kind 'invalid'."""
-    data = bytes(block)
-    at, out = uncompressed_length(data)[1], []
-    while at < len(data):
-        start, tag = at, data[at]
-        kind, at = tag & 3, at + 1
-        length, offset, literal = (tag >> 2) + 1, None, None
-        extra = (length - 60 if length > 60 else 0) if kind == 0 else (1, 2, 4)[kind - 1]
-        more = data[at : at + extra]
-        at += extra
-        if len(more) < extra:
-            out.append(dict(tag_no=len(out), at=start, kind="invalid", length=0, offset=None, literal=None))
-            break
-        number = int.from_bytes(more, "little")
-        if kind == 0:
-            length = number + 1 if extra else length
-            literal = data[at : at + length]
-            at += length
-            if len(literal) < length:
-                out.append(dict(tag_no=len(out), at=start, kind="invalid", length=0, offset=None, literal=None))
-                break
-        elif kind == 1:
-            length, offset = (tag >> 2 & 7) + 4, (tag >> 5) << 8 | number
-        else:
-            offset = number
-        out.append(dict(tag_no=len(out), at=start, kind=("literal", "copy1", "copy2", "copy4")[kind], length=length, offset=offset, literal=literal))
+    data, out = memoryview(block), []
+    for window in walk(block):
+        for at, kind, length, offset, literal in zip(*(c.tolist() for c in window)):
+            out.append(dict(tag_no=len(out), at=at, kind=KINDS[kind], length=length, offset=offset if 0 < kind < 4 else None, literal=bytes(data[literal : literal + length]) if kind == 0 else None))
     return out
 
 
@@ -159,9 +207,38 @@ def pieces_of(data) -> list[bytes]:
     return [data[at : at + BLOCK_SIZE] for at in range(0, len(data), BLOCK_SIZE)]
 
 
+#: Bytes that are dealt with together, so that small steps are taken once for all.
+TOGETHER = 16 << 20
+
+
+def _together(values):
+    """Runs of values of about TOGETHER bytes, one value at least."""
+    run, held = [], 0
+    for v in values:
+        run.append(v)
+        held += len(v)
+        if held >= TOGETHER:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
+def frame_many(values) -> list[bytes]:
+    """A stream of one write for each value: the identifier, then chunks of
+    64 KB. Checksums are taken over the pieces of many values at once."""
+    out = []
+    for run in _together(values):
+        pieces = [pieces_of(v) for v in run]
+        made, at = data_chunks([p for ps in pieces for p in ps]), 0
+        for ps in pieces:
+            out.append(b"".join([IDENTIFIER, *made[at : at + len(ps)]]))
+            at += len(ps)
+    return out
+
+
 def frame(data) -> bytes:
-    """A stream of one write: the identifier, then chunks of 64 KB."""
-    return b"".join([IDENTIFIER, *data_chunks(pieces_of(data))])
+    return frame_many([data])[0]
 
 
 def frame_writes(writes) -> bytes:
@@ -226,36 +303,63 @@ def decode_chunk(kind: int, body: bytes) -> bytes:
     return decompress(payload)
 
 
+def decode_many(streams):
+    """For the chunks of each stream (values, error, number of the failing
+    chunk among them), with one pass of checksums over all."""
+    decoded = []
+    for chunks in streams:
+        values, error, failed = [], None, None
+        for no, (_, kind, _, body) in enumerate(chunks):
+            if kind in (COMPRESSED_DATA, UNCOMPRESSED_DATA):
+                try:
+                    values.append((no, decode_chunk(kind, body), int.from_bytes(body[:CHECKSUM], "little")))
+                except CodecError as e:
+                    error, failed = e.code, no
+                    break
+        decoded.append((values, error, failed))
+    crcs, at, out = crc32c_many([v for values, _, _ in decoded for _, v, _ in values]).tolist(), 0, []
+    for values, error, failed in decoded:
+        good = values
+        for k, (no, _, want) in enumerate(values):
+            if mask(crcs[at + k]) != want:
+                good, error, failed = values[:k], CRC_MISMATCH, no
+                break
+        at += len(values)
+        out.append(([v for _, v, _ in good], error, failed))
+    return out
+
+
 def decode_chunks(chunks):
     """(values, error, number of the failing chunk among chunks)."""
-    values, stored, error, failed = [], [], None, None
-    for no, (_, kind, _, body) in enumerate(chunks):
-        if kind in (COMPRESSED_DATA, UNCOMPRESSED_DATA):
-            try:
-                values.append((no, decode_chunk(kind, body)))
-            except CodecError as e:
-                error, failed = e.code, no
-                break
-            stored.append(int.from_bytes(body[:CHECKSUM], "little"))
-    crcs = crc32c_many([v for _, v in values]) if values else np.zeros(0, np.uint32)
-    for k, (crc, want) in enumerate(zip(crcs.tolist(), stored)):
-        if mask(crc) != want:
-            return [v for _, v in values[:k]], CRC_MISMATCH, values[k][0]
-    return [v for _, v in values], error, failed
+    return decode_many([chunks])[0]
+
+
+def try_unframe_many(streams) -> list[dict]:
+    """For each stream ok, error, error_chunk and value: all that comes before
+    the first bad chunk, and nothing after it."""
+    out = []
+    for run in _together(streams):
+        split = [split_chunks(s) for s in run]
+        for (chunks, _, _, error), (values, bad, at) in zip(split, decode_many([c[0] for c in split])):
+            if bad is None and error is not None:
+                bad, at = error, len(chunks)
+            out.append(dict(ok=bad is None, error=bad, error_chunk=at, value=b"".join(values)))
+    return out
 
 
 def try_unframe(data) -> dict:
-    """ok, error, error_chunk and value: all that comes before the first bad
-    chunk, and nothing after it."""
-    chunks, _, _, error = split_chunks(data)
-    values, bad, at = decode_chunks(chunks)
-    if bad is None and error is not None:
-        bad, at = error, len(chunks)
-    return dict(ok=bad is None, error=bad, error_chunk=at, value=b"".join(values))
+    return try_unframe_many([data])[0]
 
 
-def unframe(data) -> bytes:
-    out = try_unframe(data)
+def _value(out: dict) -> bytes:
     if not out["ok"]:
         raise CodecError(out["error"], out["error_chunk"])
     return out["value"]
+
+
+def unframe_many(streams) -> list[bytes]:
+    return [_value(out) for out in try_unframe_many(streams)]
+
+
+def unframe(data) -> bytes:
+    return _value(try_unframe(data))

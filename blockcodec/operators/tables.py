@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, exprs
@@ -20,10 +20,11 @@ def fragments(df: DataFrame, data: str, keys: list[str]) -> DataFrame:
     return numbered.select(*keys, "fragment_no", start.alias("start"), F.expr(f"substring(`{data}`, fragment_no * {BLOCK_SIZE} + 1, {BLOCK_SIZE})").alias("bytes")).select(*keys, "fragment_no", "start", F.octet_length("bytes").alias("len"), "bytes")
 
 
-def tags(df: DataFrame, block: str, keys: list[str]) -> DataFrame:
-    """keys, tag_no, at, kind, length, offset, literal: the elements of blocks.
-    A block whose header cannot be read fails the query."""
-    return df.select(*keys, F.inline(codec.snappy_tag_array(F.col(block))))
+def tags(df: DataFrame, block: str, keys: list[str], literals: bool = True) -> DataFrame:
+    """keys, tag_no, at, kind, length, offset and, with literals, literal: the
+    elements of blocks. A block whose header cannot be read fails the query."""
+    made = codec.snappy_tag_array if literals else codec.snappy_tag_shapes
+    return df.select(*keys, F.inline(made(F.col(block))))
 
 
 def chunks(df: DataFrame, stream: str, keys: list[str]) -> DataFrame:
@@ -39,13 +40,19 @@ def gathered(df: DataFrame, keys: list[str], order: str, data: str, name: str =
 
 
 def valid_by_tags(df: DataFrame, block: str, keys: list[str]) -> DataFrame:
-    """keys, valid: whether tags stay within what they have produced and end
-    at the declared length - a running sum over the tag table."""
-    rows = tags(df, block, keys)
-    before = Window.partitionBy(*keys).orderBy("tag_no").rowsBetween(Window.unboundedPreceding, -1)
-    walked = rows.withColumn("produced", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    bad = (F.col("kind") == "invalid") | (F.col("kind").startswith("copy") & ~((F.col("offset") > 0) & (F.col("offset") <= F.col("produced"))))
-    summed = walked.groupBy(*keys).agg(F.sum("length").alias("total"), F.max(bad.cast("int")).alias("bad"))
-    declared = df.select(*keys, exprs.try_uncompressed_length(F.col(block)).alias("declared"))
-    joined = declared.join(summed, keys, "left")
-    return joined.select(*keys, (F.col("declared").isNotNull() & (F.coalesce("bad", F.lit(0)) == 0) & (F.coalesce("total", F.lit(0)) == F.col("declared"))).alias("valid"))
+    """keys, valid: whether tags stay within what they have produced and end at
+    the declared length - a fold over the tags of each row. Rows are judged one
+    by one, whatever their keys; a null block is null."""
+    declared = exprs.try_uncompressed_length(F.col(block))
+    shapes = codec.snappy_tag_shapes(F.when(declared.isNotNull(), F.col(block)))
+    rows = df.select(*keys, F.col(block).isNull().alias("_none"), declared.alias("_declared"), shapes.alias("_tags"))
+
+    def step(state, tag):
+        back = tag["kind"].startswith("copy") & ~((tag["offset"] > 0) & (tag["offset"] <= state["made"]))
+        return F.struct((state["made"] + tag["length"]).alias("made"), (state["bad"] | (tag["kind"] == "invalid") | F.coalesce(back, F.lit(False))).alias("bad"))
+
+    start = F.struct(F.lit(0).cast("long").alias("made"), F.lit(False).alias("bad"))
+    end = F.aggregate(F.coalesce("_tags", F.array().cast(rows.schema["_tags"].dataType)), start, step)
+    walked = rows.select(*keys, "_none", "_declared", end.alias("_end"))
+    sound = F.col("_declared").isNotNull() & ~F.col("_end.bad") & (F.col("_end.made") == F.col("_declared"))
+    return walked.select(*keys, F.when(~F.col("_none"), F.coalesce(sound, F.lit(False))).alias("valid"))

@@ -65,27 +65,39 @@ def frame_parallel(df: DataFrame, data: str, keys: list[str], options: ParallelO
     return empty.unionByName(joined.select(*keys, F.concat(F.lit(IDENTIFIER), F.col("body")).alias("frames")))
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on equal keys, null being equal to null."""
+    other = b.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & a[k].eqNullSafe(other[f"_{k}"])
+    return a.join(other, on, "left").drop(*[f"_{k}" for k in keys])
+
+
 def unframe_parallel(df: DataFrame, stream: str, keys: list[str], options: ParallelOptions = ParallelOptions()) -> DataFrame:
     """keys, ok, error, error_chunk, value: as try_snappy_unframe, with chunks
-    decoded in many tasks. Of several errors the first in the stream counts."""
+    decoded in many tasks. Of several errors the first in the stream counts.
+    keys must identify a row; nulls among them are a value like any other. A
+    null stream has nulls in all columns."""
     rows = tables.chunks(df, stream, keys).where(F.col("error").isNotNull() | (F.col("chunk_type") < FIRST_SKIPPABLE))
     # Each data chunk is decoded as a stream of its own.
     alone = exprs.chunk(F.col("chunk_type"), F.col("body"))
     decoded = _dealt(rows, keys, "chunk_no", options).select(*keys, "chunk_no", "error", codec.try_snappy_unframe(F.when(F.col("error").isNull(), alone)).alias("r"))
     told = decoded.select(*keys, "chunk_no", F.coalesce("error", "r.error").alias("error"), F.col("r.value").alias("value"))
     first = told.where("error is not null").groupBy(*keys).agg(F.min_by("error", "chunk_no").alias("error"), F.min("chunk_no").alias("error_chunk"))
-    good = told.join(first.select(*keys, "error_chunk"), keys, "left").where(F.col("error_chunk").isNull() | (F.col("chunk_no") < F.col("error_chunk")))
+    good = _same(told.drop("error"), first.select(*keys, "error_chunk"), keys).where(F.col("error_chunk").isNull() | (F.col("chunk_no") < F.col("error_chunk")))
     values = tables.gathered(good, keys, "chunk_no", "value", "value")
-    base = df.where(F.col(stream).isNotNull()).select(*keys)
-    out = base.join(first, keys, "left").join(values, keys, "left")
-    return out.select(*keys, F.col("error").isNull().alias("ok"), "error", "error_chunk", F.coalesce("value", F.lit(b"")).alias("value"))
+    base = df.select(*keys, F.col(stream).isNotNull().alias("_some"))
+    out = _same(_same(base, first, keys), values, keys)
+    return out.select(*keys, F.when(F.col("_some"), F.col("error").isNull()).alias("ok"), "error", "error_chunk", F.when(F.col("_some"), F.coalesce("value", F.lit(b""))).alias("value"))
 
 
 def crc32c_parallel(df: DataFrame, data: str, keys: list[str], options: ParallelOptions = ParallelOptions()) -> DataFrame:
     """keys, crc: a CRC for each fragment, combined in order. Combining is
-    associative, so the checksum of a value never needs the value in one task."""
+    associative, so the checksum of a value never needs the value in one task.
+    A null value has a null checksum."""
     pieces = _dealt(tables.fragments(df, data, keys), keys, "fragment_no", options).select(*keys, "fragment_no", "len", codec.crc32c(F.col("bytes")).alias("crc"))
     listed = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fragment_no", "len", "crc"))).alias("parts"))
     some = listed.select(*keys, codec.crc32c_fold(F.col("parts.crc"), F.col("parts.len")).alias("crc"))
-    none = df.where(F.octet_length(data) == 0).select(*keys, F.lit(0).cast("long").alias("crc"))
+    none = df.where(F.col(data).isNull() | (F.octet_length(data) == 0)).select(*keys, F.when(F.col(data).isNotNull(), F.lit(0)).cast("long").alias("crc"))
     return some.unionByName(none)

@@ -180,12 +180,13 @@ class FramesWriter(DataSourceWriter):
 
     def commit(self, messages):
         fs, folder = _open(self.uri)
-        if self.overwrite:
-            for path, _ in _files(self.uri):
-                fs.delete_file(path)
+        before = [path for path, _ in _files(self.uri)] if self.overwrite else []
         for m in messages:
             if m is not None and m.part:
                 fs.move(m.part, m.name)
+        # Only once the new files are in place: a failure never loses both.
+        for path in before:
+            fs.delete_file(path)
         with fs.open_output_stream(f"{folder}/_SUCCESS"):
             pass
 

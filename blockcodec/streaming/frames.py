@@ -1,7 +1,7 @@
 """Stateful decoding and encoding of framed streams.
 
-Rows (stream_id, seq, bytes, eof) come in any order within and across batches;
-they are used in the order of seq, from 0. State is one stream's unread tail,
+Rows (stream_id, seq, bytes, eof and, for encoding, flush) come in any order
+within and across batches; they are used in the order of seq, from 0. State is one stream's unread tail,
 how much of a skippable chunk is still to come, the next seq, rows that came
 too early, and the error once there is one: nothing after it is ever decoded.
 """
@@ -9,6 +9,7 @@ too early, and the error once there is one: nothing after it is ever decoded.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.constants import BLOCK_SIZE, IDENTIFIER, UNEXPECTED_END
@@ -24,7 +25,7 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "seq bigint")
-        self.early = handle.getMapState("early", "seq bigint", "bytes binary, eof boolean")
+        self.early = handle.getMapState("early", "seq bigint", "bytes binary, eof boolean, flush boolean")
         self.state = handle.getValueState("state", self.STATE)
 
     def handleInputRows(self, key, rows, timerValues):
@@ -32,12 +33,12 @@ class _InOrder(StatefulProcessor):
         # One row at a time is in memory; the others wait in the state store.
         for row in rows:
             if row["seq"] >= at:
-                self.early.updateValue((row["seq"],), (bytes(row["bytes"] or b""), bool(row["eof"])))
+                self.early.updateValue((row["seq"],), (bytes(row["bytes"] or b""), bool(row["eof"]), bool(row["flush"])))
         while self.early.containsKey((at,)):
-            data, eof = self.early.getValue((at,))
+            data, eof, flush = self.early.getValue((at,))
             self.early.removeKey((at,))
             state = tuple(self.state.get()) if self.state.exists() else self.START
-            state, out = self.take(state, bytes(data), eof)
+            state, out = self.take(state, bytes(data), eof, flush)
             self.state.update(state)
             if out is not None:
                 yield Row(stream_id=key[0], seq=at, **out)
@@ -52,7 +53,7 @@ class Unframe(_InOrder):
     STATE = "tail binary, skip bigint, failed string"
     START = (b"", 0, None)
 
-    def take(self, state, data, eof):
+    def take(self, state, data, eof, flush):
         tail, skip, failed = state
         if failed is not None:
             return state, None
@@ -73,17 +74,18 @@ class Frame(_InOrder):
     STATE = "pending binary, started boolean"
     START = (b"", False)
 
-    def take(self, state, data, eof):
+    def take(self, state, data, eof, flush):
         pending, started = state
         data = bytes(pending) + data
-        whole = len(data) if eof else len(data) // BLOCK_SIZE * BLOCK_SIZE
+        whole = len(data) if eof or flush else len(data) // BLOCK_SIZE * BLOCK_SIZE
         frames = (b"" if started else IDENTIFIER) + b"".join(data_chunks(pieces_of(data[:whole])))
         return (data[whole:], True), dict(frames=frames) if frames else None
 
 
 def _stateful(rows: DataFrame, processor, schema: str, mode: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.select("stream_id", "seq", "bytes", "eof").groupBy("stream_id").transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
+    flush = F.col("flush") if "flush" in rows.columns else F.lit(False)
+    return rows.select("stream_id", "seq", "bytes", "eof", flush.alias("flush")).groupBy("stream_id").transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
 
 
 def unframe_stream(rows: DataFrame, mode: str = "Append") -> DataFrame:
@@ -93,5 +95,6 @@ def unframe_stream(rows: DataFrame, mode: str = "Append") -> DataFrame:
 
 def frame_stream(rows: DataFrame, mode: str = "Append") -> DataFrame:
     """stream_id, seq, frames: concatenated by seq, a framed stream. eof on a
-    row flushes what is pending after it."""
+    row flushes what is pending after it, and so does flush, where rows have
+    that column."""
     return _stateful(rows, Frame(), FRAMED, mode)

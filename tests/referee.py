@@ -65,6 +65,46 @@ def crc32c(data, crc=0):
     return crc ^ 0xFFFFFFFF
 
 
+def _crcs():
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0x82F63B78 if i & 1 else 0)
+        table.append(i)
+    return table
+
+
+TABLE = _crcs()
+
+
+def masked(data):
+    crc = 0xFFFFFFFF
+    for byte in data:
+        crc = TABLE[(crc ^ byte) & 255] ^ crc >> 8
+    crc ^= 0xFFFFFFFF
+    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
+
+
+def unframe(stream):
+    """(what comes before the first bad chunk, whether there is none), from the
+    framing format alone."""
+    out, at = bytearray(), 0
+    while at < len(stream):
+        kind, size = stream[at], int.from_bytes(stream[at + 1 : at + 4], "little")
+        body = stream[at + 4 : at + 4 + size]
+        if len(stream) - at < 4 or len(body) < size or 2 <= kind < 128:
+            return bytes(out), False
+        if kind == 255 and body != b"sNaPpY":
+            return bytes(out), False
+        if kind < 2:
+            value = (decode(body[4:]) if kind == 0 else body[4:]) if size >= 4 else None
+            if value is None or len(value) > 65536 or masked(value) != int.from_bytes(body[:4], "little"):
+                return bytes(out), False
+            out += value
+        at += 4 + size
+    return bytes(out), True
+
+
 def payloads(rng, count):
     """Text-like, random, repetitive and mixed values, sizes near the limits."""
     sizes = (0, 1, 2, 14, 15, 16, 17, 59, 60, 61, 255, 256, 257, 4095, 65535, 65536, 65537, 140_000)

@@ -45,7 +45,8 @@ def test_parallel_plans_do_not_depend_on_partitioning(values):
         crcs = collected(parallel.crc32c_parallel(df, "data", ["id"], options))
         for i, v in rows:
             if v is None:
-                assert blocks[i]["block"] is None and found[i]["frames"] is None and i not in back
+                assert blocks[i]["block"] is None and found[i]["frames"] is None and crcs[i]["crc"] is None
+                assert back[i]["ok"] is back[i]["error"] is back[i]["error_chunk"] is back[i]["value"] is None
                 continue
             assert bytes(blocks[i]["block"]) == K.compress(v)
             assert bytes(found[i]["frames"]) == K.frame(v)
@@ -139,3 +140,25 @@ def test_source_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(bytes(r["value"]) for r in spark.table("frames_in").where("value is not null").collect()) == [b"file 0", b"file 1", b"file 2"]
+
+
+def test_null_and_repeated_keys(spark):
+    good, bad = K.compress(b"abc" * 50), K.compress(b"abc" * 50)[:-1]
+    rows = [(1, good), (1, good), (None, good), (None, bad), (2, bad), (2, None), (3, b""), (3, b"\xff\xff")]
+    got = tables.valid_by_tags(spark.createDataFrame(rows, "id long, block binary"), "block", ["id"]).collect()
+    assert sorted((str(r["id"]), str(r["valid"])) for r in got) == sorted((str(i), str(None if b is None else K.is_valid(b))) for i, b in rows)
+    streams = [(None, 1, K.frame(b"x" * 200_000)), (1, None, K.frame(b"y") + b"\x02\0\0\0"), (None, None, K.frame(b"")), (2, 2, None)]
+    got = parallel.unframe_parallel(spark.createDataFrame(streams, "a long, b long, s binary"), "s", ["a", "b"]).collect()
+    want = {(a, b): K.try_unframe(s) if s is not None else dict.fromkeys(("ok", "error", "error_chunk", "value")) for a, b, s in streams}
+    assert {(r["a"], r["b"]): {k: bytes(r[k]) if isinstance(r[k], bytearray) else r[k] for k in ("ok", "error", "error_chunk", "value")} for r in got} == want
+
+
+def test_long_literals_and_far_copies(spark):
+    n = (1 << 24) + 5
+    data = spark.range(1).select(F.expr(f"encode(repeat('ab', {n // 2 + 1}), 'UTF-8')").alias("d"))
+    block = data.select(exprs.literal_block(F.expr(f"substring(d, 1, {n})")).alias("b")).first()["b"]
+    assert K.decompress(bytes(block)) == (b"ab" * n)[:n]
+    copy = bytes(spark.range(1).select(exprs.copy_tag(F.lit(70_000), F.lit(40)).alias("c")).first()["c"])
+    literal = bytes(range(256)) * 300
+    made = K.varint(len(literal) + 40) + bytes([62 << 2]) + (len(literal) - 1).to_bytes(3, "little") + literal + copy
+    assert K.decompress(made) == literal + literal[-70_000 : -70_000 + 40] and copy[0] & 3 == 3

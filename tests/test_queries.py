@@ -1,6 +1,8 @@
 """Each query against its SQL on the smallest tables, as the driver does."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -41,3 +43,29 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+RUN_ALL = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+from blockcodec.queries import QUERIES
+bad = []
+for name, q in QUERIES.items():
+    try:
+        q(spark, sys.argv[2]).count()
+    except Exception as e:
+        bad.append(name + ": " + str(e)[:200])
+print("BAD", bad)
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_workers_need_not_import_the_package(tmp_path):
+    """From another folder, without PYTHONPATH: only the driver can import it."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", RUN_ALL, root, SF], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert "BAD []" in out.stdout, out.stdout + out.stderr[-3000:]

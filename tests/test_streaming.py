@@ -45,3 +45,20 @@ def test_frame_equals_one_write(spark, tmp_path):
     random.Random(2).shuffle(rows)
     got = run(spark, tmp_path, "framed", [rows[:2], rows[2:]], frame_stream)
     assert {k: b"".join(bytes(r["frames"]) for r in v) for k, v in got.items()} == {k: K.frame(v) for k, v in data.items()}
+
+
+def test_flush_rows(spark, tmp_path):
+    """Chunks end after each row with a flush, as after a write with one."""
+    data, rng = bytes(range(256)) * 700, random.Random(4)
+    cut = [data[:100], data[100:70_000], b"", data[70_000:]]
+    flush = [True, False, True, False]
+    rows = [("s", i, p, i == 3, f) for i, (p, f) in enumerate(zip(cut, flush))]
+    rng.shuffle(rows)
+    folder = tmp_path / "flushed"
+    folder.mkdir()
+    schema = SCHEMA + ", flush boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    q = frame_stream(spark.readStream.schema(schema).parquet(str(folder))).writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "flushed-c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = b"".join(bytes(r["frames"]) for r in spark.table("flushed").orderBy("seq").collect())
+    assert got == K.frame_writes(list(zip(cut, flush))) and K.unframe(got) == data
