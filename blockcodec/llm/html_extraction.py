@@ -45,21 +45,53 @@ TAGS = ("article", "main", "section", "div", "p", "h", "list", "nav", "header",
 GROUPS = {"article": 0, "main": 1, "section": 2, "div": 3, "p": 4, **{f"h{i}": 5 for i in range(1, 7)}, **dict.fromkeys(("ul", "ol", "li", "dl", "dt", "dd", "menu"), 6), "nav": 7, "header": 8, "footer": 9, "aside": 10, **dict.fromkeys(("form", "fieldset", "dialog"), 11), **dict.fromkeys(("table", "tbody", "thead", "tfoot", "tr", "td", "th"), 12), **dict.fromkeys(("blockquote", "pre", "figure", "figcaption"), 13), **dict.fromkeys(("html", "body"), 14)}
 
 
+class Stack:
+    """The open elements, and where each kind of them is: no search goes over
+    all that is open, however deep a page nests."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.nodes, self.at = tags, [0], {}
+
+    @property
+    def top(self) -> int:
+        return self.nodes[-1]
+
+    def push(self, node: int) -> None:
+        self.at.setdefault(self.tags[node], []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close all from place k on."""
+        for node in self.nodes[k:]:
+            self.at[self.tags[node]].pop()
+        del self.nodes[k:]
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost element of these names; 0 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def lowest(self, names, stop: int) -> int:
+        """The place of the outermost element of these names above stop."""
+        places = [p for n in names for p in self.at.get(n, ()) if p > stop]
+        return min(places, default=len(self.nodes))
+
+
 class Page:
     """The block elements of a page in page order, and its texts."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, marked: bool = False):
+        self.marked = marked  # a training page, with data-mark attributes
         self.tag, self.parent, self.good, self.bad, self.mark = ["html"], [-1], [0], [0], [None]
         self.hidden = [False]
         #: (node, text, in a link); a node that goes on after a child does so
         #: in a new run.
         self.runs: list[tuple[int, list[str], list[int]]] = []
-        stack, at, link, open_run = [0], 0, 0, -1
+        stack, at, link, open_run = Stack(self.tag), 0, 0, -1
         for m in TOKEN.finditer(source):
             if m.start() < at:  # within a raw text element
                 continue
             if m.start() > at:
-                open_run = self._text(source[at : m.start()], stack[-1], link, open_run)
+                open_run = self._text(source[at : m.start()], stack.top, link, open_run)
             at = m.end()
             tag = m["tag"] or m["tag2"]
             if not tag:
@@ -68,7 +100,7 @@ class Page:
             if tag == "a":
                 link = 0 if end else 1
             if tag in ("br", "hr", "img") and not end:
-                open_run = self._text(" ", stack[-1], 0, open_run)
+                open_run = self._text(" ", stack.top, 0, open_run)
             if tag == "hr":
                 open_run = -1
             if tag in INLINE:
@@ -76,50 +108,39 @@ class Page:
             if end:
                 if tag in ("html", "body"):
                     continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        open_run = -1
-                        break
+                if (k := stack.last(tag)) > 0:
+                    stack.cut(k)
+                    open_run = -1
                 continue
             if tag == "html":
                 continue
             attrs = m["attrs"] if m["tag"] else m["attrs2"]
             self._make_room(tag, stack)
-            node = self._open(tag, attrs or "", stack[-1])
+            node = self._open(tag, attrs or "", stack.top)
             open_run = -1
             if tag in RAW:
                 closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = closing.end() if closing else len(source)
             elif not (attrs or "").endswith("/") or tag in GROUPS:
-                stack.append(node)
+                stack.push(node)
         if at < len(source):
-            self._text(source[at:], stack[-1], link, open_run)
+            self._text(source[at:], stack.top, link, open_run)
 
     def _make_room(self, tag, stack):
         """Close what the start of tag closes."""
-        if tag == "body" or tag not in HEAD_ONLY:
-            if self.tag[stack[-1]] == "head" and tag != "head":
-                stack.pop()
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[k]]
-                if name == "p":
-                    del stack[k:]
-                    break
-                if name in ("td", "th", "button", "table", "object"):
-                    break
+        if tag not in HEAD_ONLY and tag != "head" and self.tag[stack.top] == "head":
+            stack.cut(len(stack.nodes) - 1)
+        if tag in CLOSES_P and (k := stack.last("p")) > stack.last("td", "th", "button", "table", "object"):
+            stack.cut(k)
         if tag in SELF_CLOSING:
             closes, until = SELF_CLOSING[tag]
             closes = closes.split()
-            for k in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[k]]
-                if name in until and name not in closes:
-                    break
-                if name in closes:
-                    del stack[k:]
-                    if name == tag:
-                        break
+            stop = stack.last(*(u for u in until if u not in closes))
+            found = [k for c in closes if (k := stack.last(c)) > stop]
+            if (own := stack.last(tag)) > stop:
+                stack.cut(own)  # with what is open above it
+            elif found:
+                stack.cut(min(stack.lowest(closes, stop), *found))
 
     def _open(self, tag, attrs, parent):
         good = bad = 0
@@ -132,7 +153,7 @@ class Page:
                     parts = {p.lower() for p in NAME_PARTS.findall(a or b or c)}
                     good += len(parts & GOOD_TOKENS)
                     bad += len(parts & BAD_TOKENS)
-                elif name == "data-mark":
+                elif self.marked and name == "data-mark":
                     mark = int(a or b or c)
                 elif name == "style" and re.search(r"display\s*:\s*none", a or b or c, re.I):
                     hidden = True
@@ -234,7 +255,7 @@ def _labels(page: Page) -> np.ndarray:
 
 @functools.lru_cache(1)
 def trained(pages: int = 500, seed: int = 23) -> boosting.Boosted:
-    parsed = [Page(s) for s in training_pages(pages, seed)]
+    parsed = [Page(s, marked=True) for s in training_pages(pages, seed)]
     x, y = np.vstack([p.features() for p in parsed]), np.concatenate([_labels(p) for p in parsed])
     return boosting.fit(x, y)
 
