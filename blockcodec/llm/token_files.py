@@ -7,7 +7,8 @@ zeros first, on the way to the next plane. Planes are cut into blocks that are
 compressed one by one and have their rank beside them, so access, rank and
 select read only the blocks they need.
 
-Layout, little-endian: magic b"WMT1"; 8 int64: tokens n, documents d, alphabet
+Layout, little-endian: magic b"WMT2"; 9 int64: tokens n, documents d, how many
+of them have no doc_id (the last ones, with a doc id of 0 in the file), alphabet
 size a, planes p, bits to a block, then three lengths of the compressed
 alphabet, doc ids and document ends; those three; for each plane its number of
 zeros, its ones before each block and the end of each block (int64 each); then
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import new_path, shuffle_partitions, write_table
 from .tokens import WordEncoder, batched
 
-MAGIC = b"WMT1"
+MAGIC = b"WMT2"
 BLOCK_BITS = 1 << 17
 #: A file is closed at so many tokens; a document is never split over two.
 FILE_TOKENS = 1 << 21
@@ -43,7 +44,8 @@ def _code_type(planes: int):
 
 
 def encode_file(ids: np.ndarray, doc_ids, ends, block_bits: int = BLOCK_BITS) -> bytes:
-    """ids: uint32; doc_ids: int64; ends: the end of each document in ids."""
+    """ids: uint32; doc_ids: integers, None only at the end; ends: the end of
+    each document in ids."""
     alphabet = np.nonzero(np.bincount(ids, minlength=1))[0] if len(ids) else np.zeros(0, np.int64)
     planes, head, body = max(1, int(len(alphabet) - 1).bit_length()), [], []
     code = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, _code_type(planes))
@@ -58,8 +60,8 @@ def encode_file(ids: np.ndarray, doc_ids, ends, block_bits: int = BLOCK_BITS) ->
         head.append(np.array([len(one) - sum(ones), *before, *np.cumsum([len(b) for b in blocks])] if blocks else [0], np.int64))
         body.append(b"".join(blocks))
         seq = np.concatenate([seq[~one], seq[one]])
-    parts = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in (alphabet.astype(np.uint32), np.asarray(doc_ids, np.int64), np.asarray(ends, np.int64))]
-    sizes = struct.pack("<8q", len(ids), len(doc_ids), len(alphabet), planes, block_bits, *map(len, parts))
+    parts = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in (alphabet.astype(np.uint32), np.array([i or 0 for i in doc_ids], np.int64), np.asarray(ends, np.int64))]
+    sizes = struct.pack("<9q", len(ids), len(doc_ids), sum(i is None for i in doc_ids), len(alphabet), planes, block_bits, *map(len, parts))
     return b"".join([MAGIC, sizes, *parts, *(h.tobytes() for h in head), *body])
 
 
@@ -70,12 +72,13 @@ class TokenFile:
         if raw[:4] != MAGIC:
             raise ValueError("not a token file")
         self.raw = memoryview(raw)
-        self.n, d, self.a, self.planes, self.block_bits, *sizes = struct.unpack_from("<8q", raw, 4)
-        at, parts = 4 + 64, []
+        self.n, d, nameless, self.a, self.planes, self.block_bits, *sizes = struct.unpack_from("<9q", raw, 4)
+        at, parts = 4 + 72, []
         for size, kind in zip(sizes, (np.uint32, np.int64, np.int64)):
             parts.append(np.frombuffer(zstandard.decompress(raw[at : at + size]), kind))
             at += size
-        self.alphabet, self.doc_ids, self.ends = parts
+        self.alphabet, ids, self.ends = parts
+        self.doc_ids: list[int | None] = ids[: d - nameless].tolist() + [None] * nameless
         self.blocks = -(-self.n // self.block_bits)
         self.zeros, self.before, self.spans = [], [], []
         heads = []
@@ -188,9 +191,6 @@ def read_bytes(uri: str) -> bytes:
         return f.read()
 
 
-#: Stands for a null doc_id, which comes last.
-NO_ID = np.iinfo(np.int64).max
-
 FILES = "part int, file int, path string, n_tokens long, n_docs long"
 
 
@@ -215,7 +215,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_tokens: int):
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, b in batched(texts):
                 for key, x in zip(keys[a:b], encoder.encode(texts[a:b])):
-                    docs.append(NO_ID if key is None else key)
+                    docs.append(key)
                     ids.append(np.append(x, np.uint32(end_id)).astype(np.uint32))
                     held += len(x) + 1
                     if held >= file_tokens:
@@ -232,7 +232,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), -(-size // partition_bytes))
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    # A doc_id, or its lack, that many rows have is dealt out by their texts,
+    # and a text that many of those have by the row.
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_row")]
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(int(parts), *order).sortWithinPartitions(*order).drop("_row")
     return write_table(dealt.mapInArrow(_writer(folder, tokenizer, end_id, file_tokens), FILES), "files")
 
 
@@ -242,23 +245,27 @@ def _reader(batches):
             f = TokenFile(read_bytes(path))
             ids, begin = f.tokens().astype("<u4"), np.concatenate([[0], f.ends[:-1]]).astype(np.int64)
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), f.ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i in f.doc_ids.tolist()], pa.int64()), pa.array(start + begin), pa.array(f.ends - begin), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(start + begin), pa.array(f.ends - begin), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+#: Writer's partitions that one task sums up.
+PARTS_TOGETHER = 1024
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """From the files alone: doc_id, start (ids of all documents before it),
-    n_tokens, ids_crc32."""
+    n_tokens, ids_crc32. The ids before a file are prefix sums in two levels:
+    within runs of partitions, and over the runs, of which there are few."""
     spark = files.sparkSession
-    # Ids before each part: one row for each partition of the writer, whose
-    # number the writer bounds, comes to the driver; files follow in their part.
-    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    before, at = [], 0
-    for r in sums:
-        before.append((r["part"], at))
-        at += r["n"]
-    base = spark.createDataFrame(before, "part int, base long")
-    inner = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.join(F.broadcast(base), "part").select("path", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).alias("start"))
+
+    def before(rows, by, order):
+        w = (Window.partitionBy(by) if by else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
+
+    run = F.expr(f"part div {PARTS_TOGETHER}").alias("run")
+    inner = before(files.select(run, "part", "file", "path", "n_tokens"), "run", ["part", "file"])
+    runs = before(files.groupBy(run).agg(F.sum("n_tokens").alias("n_tokens")), None, ["run"])
+    placed = inner.join(runs.select("run", F.col("before").alias("base")).hint("merge"), "run").select("path", (F.col("base") + F.col("before")).alias("start"))
     n = max(shuffle_partitions(spark), files.count() // 4)
     return placed.repartition(n, "path").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

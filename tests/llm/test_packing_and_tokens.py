@@ -89,7 +89,7 @@ def test_word_encoder_equals_the_library():
 
 def test_files_against_the_library(spark):
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(["Hello", "wörld", "l'été", "12", "<|endoftext|>", "\n"]) for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (None, "last"), (None, None), (7, "again")]
+    rows = [(i, " ".join(rng.choice(["Hello", "wörld", "l'été", "12", "<|endoftext|>", "\n"]) for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (2**63 - 1, "the largest id"), (None, "last"), (None, None), (7, "again")]
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
     got = T.token_files(df, WORDS, file_tokens=200).collect()
@@ -101,6 +101,25 @@ def test_files_against_the_library(spark):
     for r in sorted(got, key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
-    order = [10**9 if r["doc_id"] is None else r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    order = [2**64 if r["doc_id"] is None else r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert order == sorted(order)
     assert T.token_files(df.limit(0), WORDS).collect() == []
+
+
+def test_prefix_sums_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(T, "PARTS_TOGETHER", 2)
+    rows = [(i if i % 3 else None, "same text here" if i % 2 else f"text number {i}") for i in range(90)]
+    got = T.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), WORDS, file_tokens=20, partition_bytes=150).collect()
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+
+
+def test_very_long_text(spark):
+    long_ = " ".join(f"word{k % 4999} été" for k in range(100_000))
+    got = T.token_files(spark.createDataFrame([(1, "before"), (2, long_), (3, "after")], "doc_id long, text string"), WORDS).collect()
+    encoder = WordEncoder(WORDS)
+    want = {i: np.append(encoder.encode([t])[0], 2).astype("<u4") for i, t in ((1, "before"), (2, long_), (3, "after"))}
+    assert len(long_) > 1 << 20 and {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(x)) for i, x in want.items()}
