@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import uuid
 import zlib
 from dataclasses import dataclass
 from operator import add
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions
+from .common import shuffle_partitions, write_buckets
 
 SPACE = "▁"
 #: Longer words are cut into pieces outside the lattice, whose positions are
@@ -121,10 +120,68 @@ class Pieces:
         return [known] if known is not None else [self.byte[b] for b in part.encode("utf-8", "replace")]
 
 
+#: What the model file says of itself, by field number of its two specs.
+TRAINER, NORMALIZER = 2, 3
+UNIGRAM, BPE = 1, 2
+
+
+def _fields(raw: bytes) -> dict[int, object]:
+    """The last value of each field of a protocol buffers message."""
+    out, at = {}, 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            out[key >> 3] = varint()
+        else:
+            size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            out[key >> 3] = raw[at : at + size]
+            at += size
+    return out
+
+
+def check_kind(raw: bytes) -> None:
+    """Refuse a model that these operators would encode wrongly: they know BPE
+    with byte fallback, white space kept as it is, a space put before a text
+    and no rules that change characters."""
+    model = _fields(raw)
+    trainer, normalizer = _fields(model.get(TRAINER, b"")), _fields(model.get(NORMALIZER, b""))
+    wrong = []
+    if trainer.get(3, UNIGRAM) != BPE:
+        wrong.append("it is no BPE model")
+    if not trainer.get(35, 0):
+        wrong.append("it has no byte fallback")
+    if trainer.get(24, 0):
+        wrong.append("white space is a suffix")
+    if normalizer.get(2, b""):
+        wrong.append("it changes characters")
+    if not normalizer.get(3, 1):
+        wrong.append("it puts no space before a text")
+    if normalizer.get(4, 1):
+        wrong.append("it drops white space")
+    if not normalizer.get(5, 1):
+        wrong.append("it leaves spaces as they are")
+    if wrong:
+        raise ValueError("not a model that can be used here: " + "; ".join(wrong))
+
+
 def load(path: str) -> Pieces:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    check_kind(model.serialized_model_proto())
     ids, score, text, byte = {}, {}, [], [0] * 256
     for i in range(model.vocab_size()):
         p = model.id_to_piece(i)
@@ -268,8 +325,8 @@ def fold_viterbi(edges, n, unknown: float = -100.0):
 
 
 def segment(words: DataFrame, model: Pieces, table: DataFrame, viterbi: bool = False) -> DataFrame:
-    """words (word, locs), each word once and partitioned by word -> (word,
-    locs, bits): bit i is set where a piece starts or ends."""
+    """words (word), each word once and partitioned by word -> (word, bits):
+    bit i is set where a piece starts or ends."""
     edges = lattice(words, table, model.longest)
     s, e = F.col("s"), F.col("s") + F.col("l")
     if viterbi:
@@ -277,16 +334,17 @@ def segment(words: DataFrame, model: Pieces, table: DataFrame, viterbi: bool = F
     else:
         key = F.shiftleft(F.col("rank").cast("long"), 12).bitwiseOR(F.shiftleft(s.cast("long"), 6)).bitwiseOR(e.cast("long"))
         edge = F.when(F.col("l") > 1, key)
-    grouped = edges.groupBy("word").agg(F.first("locs").alias("locs"), F.collect_list(edge).alias("edges"))
+    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
     n = F.char_length("word")
-    return grouped.select("word", "locs", (fold_viterbi if viterbi else fold_merges)(F.col("edges"), n).alias("bits"))
+    return grouped.select("word", (fold_viterbi if viterbi else fold_merges)(F.col("edges"), n).alias("bits"))
 
 
 # Blocks of texts as word numbers.
 
 NUMBERED = "block long, loc long, word string, docs binary"
 NUMBERED_SCHEMA = pa.schema([("block", pa.int64()), ("loc", pa.int64()), ("word", pa.string()), ("docs", pa.binary())])
-NO_ID = np.iinfo(np.int64).max
+#: Blocks whose places of a word are listed together.
+LISTED = 4096
 
 
 class Numbers(dict):
@@ -323,7 +381,7 @@ def _number(model: Pieces, limit: int):
         task, made = TaskContext.get().partitionId(), 0
         index = Numbers()
         codes: list[np.ndarray] = []
-        keys: list[int] = []
+        ids: list[int | None] = []  # of documents
         held = 0
 
         def close():
@@ -337,10 +395,11 @@ def _number(model: Pieces, limit: int):
             parts_of = np.fromiter(map(parts.__getitem__, cut), np.int32, len(cut))
             names = list(parts)
             long_ids = [(i, merged(p, model)) for i, p in enumerate(names) if len(p) > LONGEST]
+            keys = [np.array([k or 0 for k in ids], np.int64), np.array([k is None for k in ids], np.uint8)]
             extra = [np.array([k for k, _ in long_ids], np.int32), np.array([len(x) for _, x in long_ids], np.int32), np.array([i for _, x in long_ids for i in x], np.int32)]
             block = (task << 16) + made
             words = [made_of.astype(np.int32), parts_of]
-            blob = _squeeze(np.array(keys, np.int64), np.array([len(c) for c in codes], np.int32), number[flat], *words, *extra)
+            blob = _squeeze(*keys, np.array([len(c) for c in codes], np.int32), number[flat], *words, *extra)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([blob], pa.binary())], schema=NUMBERED_SCHEMA)
             # In order of their letters they take less room in files and shuffles.
             rest = sorted((i for i, p in enumerate(names) if len(p) <= LONGEST), key=names.__getitem__)
@@ -351,17 +410,17 @@ def _number(model: Pieces, limit: int):
             made, held = made + 1, 0
             index.clear()
             codes.clear()
-            keys.clear()
+            ids.clear()
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = model.keys(text or "")
                 codes.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-                keys.append(NO_ID if key is None else key)
+                ids.append(key)
                 held += len(text or "") + 64
                 if held >= limit:
                     yield from close()
-        if keys:
+        if ids:
             yield from close()
 
     return run
@@ -411,7 +470,7 @@ def _assembled(model: Pieces, digest: bool):
     def run(key, docs, told):
         out = []
         for blob in docs["docs"].to_pylist():
-            keys, sizes, codes, made_of, parts_of, k, n, flat = _expand(blob, np.int64, *[np.int32] * 7)
+            keys, nameless, sizes, codes, made_of, parts_of, k, n, flat = _expand(blob, np.int64, np.uint8, *[np.int32] * 7)
             codes, sizes = _in_parts(codes, sizes, made_of, parts_of)
             parts = [(k, n, flat)] + [_expand(x, np.int32, np.int32, np.int32) for x in told["ids"].to_pylist()]
             number, length, flat = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -419,14 +478,13 @@ def _assembled(model: Pieces, digest: bool):
             start[number], count[number] = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else 0, length
             text = [b"".join([model.text[i] for i in flat[a : a + c].tolist()]) for a, c in zip(start.tolist(), count.tolist())]
             ends = np.cumsum(sizes)
-            for key_, end, size in zip(keys.tolist(), ends.tolist(), sizes.tolist()):
+            for doc, end, size in zip((None if x else k for k, x in zip(keys.tolist(), nameless.tolist())), ends.tolist(), sizes.tolist()):
                 own = codes[end - size : end]
                 c = count[own]
                 total = int(c.sum())
                 ids = flat[_taken(start[own], c)]
                 decoded = b"".join([text[i] for i in own.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
                 decoded = decoded[1:] if model.dummy_prefix and decoded.startswith(" ") else decoded
-                doc = None if key_ == NO_ID else key_
                 if digest:
                     out.append((doc, total, zlib.crc32(ids.astype("<u4")), hashlib.sha256(decoded.encode()).hexdigest()))
                 else:
@@ -451,16 +509,17 @@ def sentencepiece(docs: DataFrame, model: Pieces, digest: bool = False, viterbi:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    buckets = int(max(shuffle_partitions(spark), -(-2 * total // block_bytes)))
-    name = f"numbered_{uuid.uuid4().hex}"
-    numbered = rows.mapInArrow(_number(model, block_bytes), NUMBERED)
-    numbered.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(name)
-    blocks = spark.table(name)
+    buckets = max(shuffle_partitions(spark), -(-2 * total // block_bytes))
+    blocks = write_buckets(rows.mapInArrow(_number(model, block_bytes), NUMBERED), "numbered", "block", buckets)
     words = blocks.where("word is not null").select("word", "loc")
     parts = int(max(shuffle_partitions(spark), -(-words.count() // WORDS_A_PARTITION)))
-    # One exchange: the lattice and its groups stay partitioned by word. A
-    # word has one loc for each block that holds it.
-    distinct = words.repartition(parts, "word").groupBy("word").agg(F.collect_list("loc").alias("locs"))
-    spelt = segment(distinct, model, piece_table(spark, model), viterbi).mapInArrow(_spelt(model), SPELT)
+    # One exchange: the lattice, its groups and the lists of places stay
+    # partitioned by word. The lattice carries words alone; a word has one place
+    # for each block that holds it, listed by runs of blocks.
+    dealt = words.repartition(parts, "word")
+    runs = F.expr(f"loc >> 24 & {(1 << 39) - 1}") % F.lit(max(1, -(-int(total) // block_bytes) // LISTED))
+    listed = dealt.groupBy("word", runs.alias("run")).agg(F.collect_list("loc").alias("locs"))
+    cut = segment(dealt.select("word").distinct(), model, piece_table(spark, model), viterbi)
+    spelt = listed.select("word", "locs").join(cut.hint("shuffle_hash"), "word").mapInArrow(_spelt(model), SPELT)
     out = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
     return blocks.where("docs is not null").select("block", "docs").groupBy("block").cogroup(spelt.groupBy("block")).applyInArrow(_assembled(model, digest), out)
