@@ -3,8 +3,14 @@
 A linear-chain conditional random field labels the lines of a text as content
 or boilerplate; Viterbi decoding gives the best labelling as a whole, so that a
 line is judged with its neighbours. The share of the text in content lines
-decides whether it stays. The field is trained here, by gradient ascent on the
-likelihood of weakly labelled lines of a bounded sample of documents.
+decides whether it stays.
+
+Lines have no labels of their own: the field learns from the quality labels of
+documents. At first a line has its document's label; then, by hard
+expectation-maximisation, the lines of bad documents are labelled anew by the
+field itself, at least one of each document staying boilerplate. As the lines of
+a document have mostly one label, the field learns that neighbours agree, and a
+line that could be either is judged by them.
 """
 
 from __future__ import annotations
@@ -14,18 +20,22 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import to_bytes
+from .quality import labelled_rows
 
 SYMBOLS = b"#*$%&|<>"
 HIGH_PART = bytes(range(128, 192))
 N_FEATURES = 14
 CONTENT, BOILERPLATE = 0, 1
-#: The fit takes about so many documents, chosen by a hash of doc_id, and so
-#: many lines of each.
-TRAIN_DOCS, TRAIN_LINES = 3_000, 200
+#: The fit takes about so many labelled documents, chosen by a hash of doc_id,
+#: and of each at most RUNS runs of RUN_LINES lines, from anywhere in it.
+TRAIN_DOCS, RUNS, RUN_LINES = 3_000, 3, 48
+#: How often the lines of bad documents are labelled anew.
+RELABELLED = 2
 CONTENT_SHARE = 0.5
 
 
@@ -83,50 +93,77 @@ def line_features(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def weak_labels(x: np.ndarray) -> np.ndarray:
-    """Boilerplate: many symbols, a shouted, repetitive or repeated line."""
-    return ((x[:, 3] > 0) | (x[:, 4] >= 0.5) | (x[:, 6] > 0) | (x[:, 11] > 0) | (x[:, 13] >= 0.5)).astype(int)
-
-
-def train_crf(sequences, rounds: int = 120, rate: float = 0.5, l2: float = 1e-4):
+def _side_by_side(sequences):
+    """Batches of sequences of about one length: (features, labels, which
+    places are used), so that a step works on many at once and few are empty."""
+    groups: dict[int, list] = {}
+    for x, y in sequences:
+        if len(x):
+            groups.setdefault((len(x) - 1).bit_length(), []).append((x, y))
+    for _, group in sorted(groups.items()):
+        n, longest = len(group), max(len(x) for x, _ in group)
+        x, y, on = np.zeros((n, longest, group[0][0].shape[1])), np.zeros((n, longest), int), np.zeros((n, longest), bool)
+        for i, (a, b) in enumerate(group):
+            x[i, : len(a)], y[i, : len(a)], on[i, : len(a)] = a, b, True
+        yield x, y, on
+
+
+def _expected(x, on, w, t):
+    """Expected counts of states by feature and of pairs of states."""
+    e, longest = x @ w, x.shape[1]
+    fwd, bwd = np.zeros_like(e), np.zeros_like(e)
+    fwd[:, 0] = e[:, 0]
+    for k in range(1, longest):
+        fwd[:, k] = np.logaddexp(fwd[:, k - 1, :1] + t[0], fwd[:, k - 1, 1:] + t[1]) + e[:, k]
+        fwd[:, k] = np.where(on[:, k, None], fwd[:, k], fwd[:, k - 1])
+    for k in range(longest - 2, -1, -1):
+        after = bwd[:, k + 1] + e[:, k + 1]
+        bwd[:, k] = np.where(on[:, k + 1, None], np.logaddexp(after[:, :1] + t[:, 0], after[:, 1:] + t[:, 1]), 0)
+    z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
+    p = np.exp(fwd + bwd - z[:, None, None]) * on[..., None]
+    joint = np.exp(fwd[:, :-1, :, None] + t + (e + bwd)[:, 1:, None, :] - z[:, None, None, None]) * on[:, 1:, None, None]
+    return np.einsum("nlf,nls->fs", x, p), joint.sum((0, 1))
+
+
+def train_crf(sequences, rounds: int = 120, rate: float = 0.5, l2: float = 1e-4, start=None):
     """sequences: (features, labels). Returns (weights by state, transitions)
     that maximise the penalised likelihood; forward-backward gives the
-    expectations of the gradient."""
-    w, t = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    sequences = [(x, y) for x, y in sequences if len(x)]
-    if not sequences:
+    expectations of the gradient. start: a field to go on from."""
+    w, t = start or (np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
+    batches = list(_side_by_side(sequences))
+    if not batches:
         return w, t
-    # Side by side, longest first, so that a step works on all sequences at once.
-    sequences.sort(key=lambda s: -len(s[0]))
-    n, longest = len(sequences), len(sequences[0][0])
-    x, y, on = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, (a, b) in enumerate(sequences):
-        x[i, : len(a)], y[i, : len(a)], on[i, : len(a)] = a, b, True
-    total, hot = on.sum(), np.eye(2)[y] * on[..., None]
-    pairs = on[:, 1:]
-    seen_t = np.einsum("nla,nlb->ab", hot[:, :-1], hot[:, 1:])
-    seen_w = np.einsum("nlf,nls->fs", x, hot)
+    total, seen_w, seen_t = 0, np.zeros_like(w), np.zeros_like(t)
+    for x, y, on in batches:
+        hot = np.eye(2)[y] * on[..., None]
+        total += on.sum()
+        seen_t = seen_t + np.einsum("nla,nlb->ab", hot[:, :-1], hot[:, 1:])
+        seen_w = seen_w + np.einsum("nlf,nls->fs", x, hot)
     g_w, g_t = np.zeros_like(w), np.zeros_like(t)
     for _ in range(rounds):
-        e = x @ w
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
-        for k in range(1, longest):
-            fwd[:, k] = np.logaddexp(fwd[:, k - 1, :1] + t[0], fwd[:, k - 1, 1:] + t[1]) + e[:, k]
-            fwd[:, k] = np.where(on[:, k, None], fwd[:, k], fwd[:, k - 1])
-        for k in range(longest - 2, -1, -1):
-            after = bwd[:, k + 1] + e[:, k + 1]
-            bwd[:, k] = np.where(on[:, k + 1, None], np.logaddexp(after[:, :1] + t[:, 0], after[:, 1:] + t[:, 1]), 0)
-        z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
-        p = np.exp(fwd + bwd - z[:, None, None]) * on[..., None]
-        joint = np.exp(fwd[:, :-1, :, None] + t + (e + bwd)[:, 1:, None, :] - z[:, None, None, None]) * pairs[..., None, None]
-        d_w = (seen_w - np.einsum("nlf,nls->fs", x, p)) / total - l2 * w
-        d_t = (seen_t - joint.sum((0, 1))) / total - l2 * t
+        found = [_expected(x, on, w, t) for x, _, on in batches]
+        d_w = (seen_w - sum(f[0] for f in found)) / total - l2 * w
+        d_t = (seen_t - sum(f[1] for f in found)) / total - l2 * t
         g_w, g_t = g_w + d_w**2, g_t + d_t**2
         w, t = w + rate * d_w / np.sqrt(g_w + 1e-12), t + rate * d_t / np.sqrt(g_t + 1e-12)
     return w, t
 
 
+def learn(runs, rounds: int = 60):
+    """runs: (features, quality) of runs of lines -> a field."""
+    runs = [(x, q) for x, q in runs if len(x)]
+    labels = [np.full(len(x), CONTENT if q else BOILERPLATE) for x, q in runs]
+    field = train_crf(list(zip((x for x, _ in runs), labels)), rounds)
+    for _ in range(RELABELLED):
+        for i, (x, q) in enumerate(runs):
+            if not q:
+                y, e = np.array(viterbi(x, *field)), x @ field[0]
+                y[int(np.argmax(e[:, BOILERPLATE] - e[:, CONTENT]))] = BOILERPLATE
+                labels[i] = y
+        field = train_crf(list(zip((x for x, _ in runs), labels)), rounds // 2, start=field)
+    return field
+
+
 def viterbi(x: np.ndarray, w: np.ndarray, t: np.ndarray) -> list[int]:
     """The best labelling of a sequence of lines; a tie goes to content."""
     emit = (x @ w).tolist()
@@ -155,19 +192,36 @@ def content_share(text, w, t) -> float:
     return sum(len(x) for x, s in zip(lines, labels) if s == CONTENT) / total if total else 0.0
 
 
+def chosen_runs(text) -> list[np.ndarray]:
+    """The features of RUNS runs of lines at most, by a hash of the text and
+    the run's number; of all lines, where there are no more."""
+    raw = to_bytes(text)
+    x = line_features([line for line in raw.split(b"\n") if line.split()])
+    runs = [x[at : at + RUN_LINES] for at in range(0, len(x), RUN_LINES)]
+    seed = xxhash.xxh64_intdigest(raw)
+    order = sorted(range(len(runs)), key=lambda k: xxhash.xxh64_intdigest(str(k), seed))
+    return [runs[k] for k in sorted(order[:RUNS])]
+
+
 def _training_lines(batches):
     for batch in batches:
-        rows = [line_features([x for x in to_bytes(t).split(b"\n") if x.split()][:TRAIN_LINES]).tolist() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.list_(pa.float64())))], ["x"])
+        rows, quality = [], []
+        for t, q in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            for x in chosen_runs(t):
+                rows.append(x.tolist())
+                quality.append(int(q))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.list_(pa.float64()))), pa.array(quality, pa.int32())], ["x", "quality"])
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS):
-    """A field from about train_docs documents of docs (doc_id, text)."""
-    share = min(1.0, train_docs / max(1, docs.count()))
-    mix = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("rules")), F.lit(1 << 20))
-    some = docs.where(mix < int(share * (1 << 20))).select("text")
-    found = [np.array(x, float).reshape(-1, N_FEATURES) for x in some.mapInArrow(_training_lines, "x array<array<double>>").toArrow()["x"].to_pylist()]
-    return train_crf([(x, weak_labels(x)) for x in sorted(found, key=lambda x: (len(x), x.tobytes()))])
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
+    """A field from about train_docs labelled documents at most (doc_id, text;
+    doc_id, quality). Held out rows teach nothing, nor do those without a
+    doc_id or a label. Without any, the field holds all lines for content."""
+    known = labelled_rows(labels, train_rows=train_docs)
+    some = docs.join(known, "doc_id").select("text", "label")
+    found = some.mapInArrow(_training_lines, "x array<array<double>>, quality int").toArrow()
+    runs = [(np.array(x, float).reshape(-1, N_FEATURES), q) for x, q in zip(found["x"].to_pylist(), found["quality"].to_pylist())]
+    return learn(sorted(runs, key=lambda r: (len(r[0]), r[0].tobytes(), r[1])))
 
 
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
@@ -188,7 +242,7 @@ def _rules(w, t, least: float):
     return run
 
 
-def quality_rules(docs: DataFrame, least_share: float = CONTENT_SHARE, field=None, **options) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame | None = None, least_share: float = CONTENT_SHARE, field=None, **options) -> DataFrame:
     """One row for each row of docs: doc_id, the counts, base_failed, kept and
     content_share.
 
@@ -196,8 +250,10 @@ def quality_rules(docs: DataFrame, least_share: float = CONTENT_SHARE, field=Non
     fails the base rules (n_words under 50, or more than half of the words in
     repeated three-word windows). kept is false where those fail, else whether
     content lines have at least least_share of the text. field: (weights,
-    transitions) of a trained field; trained on docs where it is not given.
+    transitions) of a trained field; trained on docs and labels where it is not
+    given. Null and repeated doc_ids pass through; a line is a line however
+    long it is; columns of other names are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    w, t = field or train(rows, **options)
+    w, t = field or train(rows, labels, **options)
     return rows.mapInArrow(_rules(w, t, least_share), OUT)

@@ -24,7 +24,7 @@ def op2_quality_classifier(spark, sf_dir):
 
 
 def op3_quality_rules(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_simhash_dedup(spark, sf_dir):
