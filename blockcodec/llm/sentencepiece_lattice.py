@@ -325,8 +325,8 @@ def fold_viterbi(edges, n, unknown: float = -100.0):
 
 
 def segment(words: DataFrame, model: Pieces, table: DataFrame, viterbi: bool = False) -> DataFrame:
-    """words (word), each word once and partitioned by word -> (word, bits):
-    bit i is set where a piece starts or ends."""
+    """words (word, place), each word once and partitioned by word -> (word,
+    place, bits): bit i is set where a piece starts or ends."""
     edges = lattice(words, table, model.longest)
     s, e = F.col("s"), F.col("s") + F.col("l")
     if viterbi:
@@ -334,9 +334,9 @@ def segment(words: DataFrame, model: Pieces, table: DataFrame, viterbi: bool = F
     else:
         key = F.shiftleft(F.col("rank").cast("long"), 12).bitwiseOR(F.shiftleft(s.cast("long"), 6)).bitwiseOR(e.cast("long"))
         edge = F.when(F.col("l") > 1, key)
-    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    grouped = edges.groupBy("word").agg(F.first("place").alias("place"), F.collect_list(edge).alias("edges"))
     n = F.char_length("word")
-    return grouped.select("word", (fold_viterbi if viterbi else fold_merges)(F.col("edges"), n).alias("bits"))
+    return grouped.select("word", "place", (fold_viterbi if viterbi else fold_merges)(F.col("edges"), n).alias("bits"))
 
 
 # Blocks of texts as word numbers.
@@ -519,7 +519,9 @@ def sentencepiece(docs: DataFrame, model: Pieces, digest: bool = False, viterbi:
     dealt = words.repartition(parts, "word")
     runs = F.expr(f"loc >> 24 & {(1 << 39) - 1}") % F.lit(max(1, -(-int(total) // block_bytes) // LISTED))
     listed = dealt.groupBy("word", runs.alias("run")).agg(F.collect_list("loc").alias("locs"))
-    cut = segment(dealt.select("word").distinct(), model, piece_table(spark, model), viterbi)
+    # One place of each word goes along, so that both sides read one exchange.
+    distinct = dealt.groupBy("word").agg(F.min("loc").alias("place"))
+    cut = segment(distinct, model, piece_table(spark, model), viterbi)
     spelt = listed.select("word", "locs").join(cut.hint("shuffle_hash"), "word").mapInArrow(_spelt(model), SPELT)
     out = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
     return blocks.where("docs is not null").select("block", "docs").groupBy("block").cogroup(spelt.groupBy("block")).applyInArrow(_assembled(model, digest), out)

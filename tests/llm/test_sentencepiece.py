@@ -64,7 +64,7 @@ def test_viterbi_against_all_paths(spark):
     scores = {p: -rng.uniform(1, 9) for p in ("ab", "bc", "abc", "ca", "cab", "bb", "aab", "bca")}
     model = L.pieces(dict(zip(scores, range(9))), scores, [p.encode() for p in scores], [0] * 256)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)]
-    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+    df = spark.createDataFrame([(w, 1) for w in sorted(set(words))], "word string, place long")
     for r in L.segment(df, model, L.piece_table(spark, model), viterbi=True).collect():
         cuts = [i for i in range(len(r["word"]) + 1) if r["bits"] >> i & 1]
         parts = [r["word"][a:b] for a, b in zip(cuts, cuts[1:])]
@@ -72,7 +72,7 @@ def test_viterbi_against_all_paths(spark):
 
 
 def test_lattice_stays_in_one_stage(spark, model):
-    words = spark.range(5).select(F.col("id").cast("string").alias("word")).repartition(4, "word")
+    words = spark.range(5).select(F.col("id").cast("string").alias("word"), F.col("id").alias("place")).repartition(4, "word")
     plan = L.segment(words, model, L.piece_table(spark, model))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "Python" not in plan
 
