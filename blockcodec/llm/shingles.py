@@ -114,7 +114,7 @@ def similar_links(marks: DataFrame, texts: DataFrame, links: DataFrame, radius:
     """links (a, b) among fingerprints, those within the radius, and those that
     connect the fingerprints of texts whose shingles have at least the
     similarity. marks, written: _rid, fp, size (shingles) and bands, null for a
-    text without words; texts: _rid, text."""
+    text without words; texts: _rid, text, written in buckets by _rid."""
 
     def verify(pairs):
         """The links of pairs (a, b: members) that are similar. Sizes alone
@@ -122,8 +122,13 @@ def similar_links(marks: DataFrame, texts: DataFrame, links: DataFrame, radius:
         could = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
         new = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) > radius
         ids = pairs.where(could & new).select(F.col("a._rid").alias("a"), F.col("b._rid").alias("b"), F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b")).distinct()
-        text = {c: texts.select(F.col("_rid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"}
-        both = ids.join(text["b"], "b").join(text["a"], "a").select("a", "text_a", "text_b", "fp_a", "fp_b")
+        ids = write_table(ids, "pairs")
+        # Only the texts of candidates are moved; a text that very many others
+        # are compared with is a hot key of the last join alone, where skewed
+        # partitions are split.
+        text_a = write_table(ids.select("a").distinct().join(texts.toDF("a", "text_a"), "a"), "texts")
+        text_b = ids.join(texts.toDF("b", "text_b"), "b")
+        both = text_b.join(text_a, "a").select("a", "text_a", "text_b", "fp_a", "fp_b")
         return write_table(both.mapInArrow(_verified(similarity), "fp_a long, fp_b long").toDF("a", "b").distinct(), "similar")
 
     member, bucket = F.struct("_rid", "size", "fp"), ["band", "key"]

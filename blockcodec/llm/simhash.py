@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import to_bytes, with_row_id, write_table
+from .common import MAX_BUCKETS, shuffle_partitions, to_bytes, with_row_id, write_buckets, write_table
 from .components import components
 from .shingles import bands, minhash, shingles, similar_links
 from .substring_dedup import Hashes
@@ -38,6 +38,8 @@ LEAF = 64
 #: making of the top tree: one in 2,500 goes to the driver. Only the balance of
 #: shards depends on the sample, no link does.
 SHARD, SAMPLE = 40_000, 16
+#: Bytes of text in a bucket of the rows that one_of_each() writes.
+BUCKET_BYTES = 64 << 20
 ALL = (1 << 64) - 1
 HALVES = ((1 << 32) - 1, ALL ^ ((1 << 32) - 1))
 
@@ -302,11 +304,16 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD, id_co
     similarity, texts whose five-word shingles have at least that Jaccard
     similarity are linked too, however far apart their fingerprints are.
 
-    One pass over the texts writes rows, fingerprints and bands together."""
+    One pass over the texts writes rows, fingerprints and bands together,
+    bucketed by _rid. That is the one exchange of all texts: what later looks
+    texts up or drops rows moves the other side to them."""
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = int(min(MAX_BUCKETS, max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))))
     at = (docs.columns.index(id_col), docs.columns.index(text_col))
     fields = [StructField(n, t) for n, t in (("_rid", LongType()), ("doc_id", LongType()), ("fp", LongType()), ("size", IntegerType()), ("bands", ArrayType(LongType())))]
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("row"))
-    marked = write_table(rows.mapInArrow(_marked(*at, similarity is not None), StructType([*fields, StructField("row", docs.schema, False)])), "marked")
+    made = rows.mapInArrow(_marked(*at, similarity is not None), StructType([*fields, StructField("row", docs.schema, False)]))
+    marked = write_buckets(made.repartition(buckets, "_rid"), "marked", "_rid", buckets)
     classes = _classes(marked.drop("row"), radius, shard, marked.select("_rid", F.col("row")[text_col].alias("text")), similarity)
     # Both sides may be of any size: a merge join, whatever is measured of them.
     gone = marked.select("_rid", "fp").join(classes, "fp").where("_rid <> stays").select("_rid")
