@@ -8,7 +8,9 @@ components, the members of a small bucket are compared with each other. Those
 of larger buckets, which a passage common to many texts makes, get finer bands,
 which unrelated texts hardly ever share, and a sketch of one bit for each
 MinHash value, which rules out most of what is not similar enough before any
-text is moved.
+text is moved. Blocks of such documents send their finer bands as packed keys,
+one for all documents of a component, and hear which keys several components
+have: only the members of those become rows.
 
 A pair at similarity s shares a band with probability 1 - (1 - s**rows)**bands:
 0.999997 at 0.8 for the first bands, 0.999998 for the finer ones, and more above
@@ -24,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, to_bytes, write_table
+from .common import mix64, shuffle_partitions, to_bytes, write_buckets, write_table
 from .components import components
-from .substring_dedup import Hashes, rolled
+from .substring_dedup import PIECE, Hashes, answer, ask, lookup, rolled
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -34,6 +36,8 @@ BANDS, ROWS = 24, 4
 FINE_BANDS, FINE_ROWS = 192, 12
 #: Members of a bucket that are compared with each other without finer bands.
 SMALL = 32
+#: Documents of a block (its finer bands are some 3 MB), and keys of a bucket.
+BLOCK_DOCS, BUCKET_KEYS = 2048, 1 << 20
 #: Hashes taken at a time, and words whose hashes are kept.
 STEP, KNOWN_WORDS = 1 << 20, 1 << 20
 
@@ -96,6 +100,29 @@ def _finer(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(keys, longs), pa.array(sketches, longs)], ["_rid", "bands", "sketch"])
 
 
+def _flat(group):
+    """The finer bands of a block's documents in one array, and the root of each."""
+    keys = group["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return keys, np.repeat(group["root"].to_numpy(), FINE_BANDS)
+
+
+def _asked(buckets):
+    def run(key, group):
+        keys, roots = _flat(group)
+        return ask(key[0].as_py(), buckets, keys, roots, np.zeros(len(keys), bool), np.zeros(len(keys), np.uint64), False)
+
+    return run
+
+
+def _shared(_, group, told):
+    """A row for each document and key of its that several roots have."""
+    keys, _ = _flat(group)
+    known = lookup(told["payload"].to_pylist(), keys)[0] if told.num_rows else np.zeros(len(keys), bool)
+    at = np.nonzero(known)[0]
+    rows = group.select(["_rid", "fp", "size", "root", "sketch"]).take(pa.array(at // FINE_BANDS))
+    return rows.append_column("key", pa.array(keys[at].view(np.int64)))
+
+
 def _verified(similarity):
     def run(batches):
         cache, last, held = Hashes(), None, None
@@ -142,14 +169,22 @@ def similar_links(marks: DataFrame, texts: DataFrame, links: DataFrame, radius:
     mixed = rooted.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
     left = write_table(rooted.join(mixed.select(*bucket, "n"), bucket), "members")
 
-    def each(rows, *more):
+    def each(rows, on, *more):
         member = F.struct("_rid", "size", "fp", "root", *more)
-        pairs = rows.select(*bucket, member.alias("a")).join(rows.select(*bucket, member.alias("b")), bucket)
+        pairs = rows.select(*on, member.alias("a")).join(rows.select(*on, member.alias("b")), on)
         return pairs.where("a.root < b.root")
 
-    links = links.unionAll(verify(each(left.where(F.col("n") <= SMALL))))
+    links = links.unionAll(verify(each(left.where(F.col("n") <= SMALL), bucket)))
     large = left.where(F.col("n") > SMALL).select("_rid", "fp", "size", "root").distinct()
     fine = large.select("_rid").join(texts, "_rid").mapInArrow(_finer, "_rid long, bands array<long>, sketch array<long>")
-    finer = write_table(large.join(fine, "_rid"), "finer").select("_rid", "fp", "size", "root", "sketch", F.posexplode("bands").alias("band", "key"))
+    finer = write_table(large.join(fine, "_rid"), "finer")
+    n = finer.count()
+    dealt = finer.withColumn("block", F.pmod(F.xxhash64("_rid"), F.lit(-(-n // BLOCK_DOCS) or 1)))
+    dealt = write_buckets(dealt, "dealt", "block", -(-n // BLOCK_DOCS))
+    buckets = max(shuffle_partitions(marks.sparkSession), -(-n * FINE_BANDS // BUCKET_KEYS))
+    asked = dealt.select("block", "root", "bands").groupBy("block").applyInArrow(_asked(buckets), PIECE)
+    told = write_table(asked.groupBy("bucket").applyInArrow(answer(False), "block long, payload binary"), "told")
+    shared = "_rid long, fp long, size int, root long, sketch array<long>, key long"
+    again = write_table(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_shared, shared), "shared")
     differ = F.expr("aggregate(zip_with(a.sketch, b.sketch, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
-    return links.unionAll(verify(each(finer, "sketch").where(differ <= far(similarity))))
+    return links.unionAll(verify(each(again, ["key"], "sketch").where(differ <= far(similarity))))

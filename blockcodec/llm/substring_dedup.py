@@ -175,7 +175,7 @@ ASK = (np.uint64, np.int64, np.uint8, np.uint64, np.bool_)
 TELL = (np.uint64, np.uint64, np.int64, np.uint8, np.bool_)
 
 
-def _ask(block: int, buckets: int, keys, docs, none, seconds, exact: bool):
+def ask(block: int, buckets: int, keys, docs, none, seconds, exact: bool):
     """One piece for each bucket of the keys that a block asks about."""
     kinds = np.where(none, np.uint8(NONE), np.uint8(SOME))
     keys, low, kind, second, several = least_by(keys, docs, kinds, seconds, exact)
@@ -191,7 +191,7 @@ def _ask(block: int, buckets: int, keys, docs, none, seconds, exact: bool):
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, PIECE_SCHEMA)], schema=PIECE_SCHEMA)
 
 
-def _answer(exact: bool):
+def answer(exact: bool):
     """All pieces of a bucket -> for each block its keys that several documents
     have: the least doc_id, what documents they are, and whether runs differ."""
 
@@ -261,7 +261,7 @@ def _groups(group: pa.Table, window, gram) -> Block:
 def _anchors(buckets, window, gram):
     def run(key, group):
         b = _groups(group, window, gram)
-        return _ask(key[0].as_py(), buckets, b.anchor, b.run_doc, b.run_none, b.run, False)
+        return ask(key[0].as_py(), buckets, b.anchor, b.run_doc, b.run_none, b.run, False)
 
     return run
 
@@ -271,7 +271,7 @@ def _windows(buckets, window, gram):
         b = _groups(group, window, gram)
         known, _, _, differ = lookup(told["payload"].to_pylist(), b.anchor)
         open_ = (known & differ)[b.run_of] if len(b.run_of) else np.zeros(0, bool)
-        return _ask(key[0].as_py(), buckets, b.content[open_], b.window_doc[open_], b.window_none[open_], b.second[open_], True)
+        return ask(key[0].as_py(), buckets, b.content[open_], b.window_doc[open_], b.window_none[open_], b.second[open_], True)
 
     return run
 
@@ -332,7 +332,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     by_block = blocks.select("block", "doc_id", text).groupBy("block")
 
     def answered(asked, exact, name):
-        return write_table(asked.groupBy("bucket").applyInArrow(_answer(exact), "block long, payload binary"), name)
+        return write_table(asked.groupBy("bucket").applyInArrow(answer(exact), "block long, payload binary"), name)
 
     told = answered(by_block.applyInArrow(_anchors(buckets, window, gram), PIECE), False, "told1")
     more = answered(by_block.cogroup(told.groupBy("block")).applyInArrow(_windows(buckets, window, gram), PIECE), True, "told2")
