@@ -39,7 +39,7 @@ SMALL = 32
 #: Documents of a block (its finer bands are some 3 MB), and keys of a bucket.
 BLOCK_DOCS, BUCKET_KEYS = 2048, 1 << 20
 #: Hashes taken at a time, and words whose hashes are kept.
-STEP, KNOWN_WORDS = 1 << 20, 1 << 20
+STEP, KNOWN_WORDS = 1 << 20, 1 << 17
 
 # The factor and the addend of each MinHash function.
 _COARSE = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)

@@ -40,7 +40,7 @@ from .common import mix64, shuffle_partitions, to_bytes, write_buckets, write_ta
 
 WINDOW = 13
 GRAM = 6
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 #: What the documents of a key are, besides their least doc_id: several with a
 #: doc_id, some with one, some with none. A null doc_id is after all others.
