@@ -187,4 +187,11 @@ def similar_links(marks: DataFrame, texts: DataFrame, links: DataFrame, radius:
     shared = "_rid long, fp long, size int, root long, sketch array<long>, key long"
     again = write_table(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_shared, shared), "shared")
     differ = F.expr("aggregate(zip_with(a.sketch, b.sketch, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
-    return links.unionAll(verify(each(again, ["key"], "sketch").where(differ <= far(similarity))))
+    close = differ <= far(similarity)
+    # As above: one member of a key with all others, then those still apart.
+    whole = F.struct("_rid", "size", "fp", "root", "sketch")
+    one = again.groupBy("key").agg(F.min(whole).alias("a"))
+    links = links.unionAll(verify(again.select("key", whole.alias("b")).join(one, "key").where("a.root <> b.root").where(close)))
+    roots = components(links).withColumnRenamed("node", "fp")
+    apart = again.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return links.unionAll(verify(each(apart, ["key"], "sketch").where(close)))
