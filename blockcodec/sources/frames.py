@@ -50,6 +50,17 @@ class Span(InputPartition):
     first_chunk: int
 
 
+@dataclass
+class Spans(InputPartition):
+    """Spans that one task reads one after the other."""
+
+    spans: list[Span]
+
+
+#: Tasks that a read has at most: beyond, a task reads several spans.
+READ_TASKS = 1024
+
+
 def _spans(fs, path: str, size: int, split: int):
     """Cut a file at chunk boundaries; a malformed header ends the cutting, and
     the last span then finds the error."""
@@ -104,11 +115,14 @@ class FramesReader(DataSourceReader):
 
     def partitions(self):
         fs, _ = _open(self.uri)
-        return [s for path, size in _files(self.uri) for s in _spans(fs, path, size, self.split)] or [Span("", 0, 0, 0)]
-
-    def read(self, span):
-        if span.path:
-            yield from _rows(_open(self.uri)[0], span, self.wanted)
+        spans = [s for path, size in _files(self.uri) for s in _spans(fs, path, size, self.split)]
+        per = -(-len(spans) // READ_TASKS)
+        return [Spans(spans[at : at + per]) for at in range(0, len(spans), per)] if spans else [Spans([])]
+
+    def read(self, partition):
+        fs = _open(self.uri)[0]
+        for span in partition.spans:
+            yield from _rows(fs, span, self.wanted)
 
 
 class FramesStreamReader(DataSourceStreamReader):
