@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import codec, exprs
-from .functions.constants import IDENTIFIER
+from .functions.constants import BLOCK_SIZE, IDENTIFIER
 from .operators import tables
 from .plans import parallel
 from .register import register_all
@@ -504,31 +504,52 @@ def _streamed(spark, rows, operator):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _pieces(df, key, data, size):
-    """stream_id, seq, bytes, eof: values cut into pieces, out of order."""
-    n = F.greatest(F.lit(1), F.expr(f"(octet_length({data}) + {size - 1}) div {size}")).cast("long")
-    cut = df.withColumn("n", n).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return cut.select(F.col(key).cast("string").alias("stream_id"), "seq", F.expr(f"substring({data}, cast(seq * {size} + 1 as int), {size})").alias("bytes"), (F.col("seq") == F.col("n") - 1).alias("eof")).repartition(3, F.xxhash64("seq"))
+def _stream_rows(pieces, key):
+    """stream_id, seq, bytes, eof of cut pieces, out of order by their shuffle."""
+    return pieces.select(F.col(key).cast("string").alias("stream_id"), F.col("piece_no").alias("seq"), "bytes", F.col("last").alias("eof"))
+
+
+def _framed_pieces(spark, docs, key):
+    """key, piece_no, bytes: a stream of one write of each key's documents, in
+    a row for each chunk; the first has the identifier before it."""
+    made = tables.cut(docs, [key], "doc_id", "part", BLOCK_SIZE).select(key, "piece_no", codec.snappy_frame(F.col("bytes")).alias("f"))
+    body = F.expr(f"substring(f, {len(IDENTIFIER) + 1}, octet_length(f) - {len(IDENTIFIER)})")
+    path = shared(spark, "chunks")
+    made.select(key, "piece_no", F.when(F.col("piece_no") == 0, F.col("f")).otherwise(body).alias("bytes")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _by_stream(docs, key, *found):
+    """stream_id of every key and, where they have it, the columns of tables
+    by stream_id."""
+    out = docs.groupBy(F.col(key).cast("string").alias("stream_id")).agg(F.max(F.octet_length("part")).alias("longest"))
+    for i, df in enumerate(found):
+        own = df.withColumnRenamed("stream_id", f"_id{i}")
+        out = out.join(own, out["stream_id"].eqNullSafe(own[f"_id{i}"]), "left").drop(f"_id{i}")
+    return out
 
 
 @query("SELECT lang AS stream_id, md5(string_agg(text, '' ORDER BY doc_id)) AS md5, 0::BIGINT AS n_errors FROM documents GROUP BY lang")
 def q_stream_unframe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("lang", "doc_id", utf8("text").alias("part"))
-    frames = tables.gathered(docs, ["lang"], "doc_id", "part", "data").select("lang", codec.snappy_frame(F.col("data")).alias("f"))
-    out = _streamed(spark, _pieces(frames, "lang", "f", 50_000), unframe_stream)
-    got = tables.gathered(out, ["stream_id"], "seq", "value", "value")
+    frames = tables.cut(_framed_pieces(spark, docs, "lang"), ["lang"], "piece_no", "bytes", 50_000, run=64)
+    out = _streamed(spark, _stream_rows(frames, "lang"), unframe_stream)
+    got = tables.digests(out, ["stream_id"], ["seq"], "value")
     bad = out.groupBy("stream_id").agg(F.count("error").alias("n_errors"))
-    return got.join(bad, "stream_id").select("stream_id", F.md5("value").alias("md5"), "n_errors")
+    # A stream without data has no rows.
+    md5 = F.coalesce("md5", F.when(F.col("longest") == 0, F.md5(F.lit(b""))))
+    return _by_stream(docs, "lang", got, bad).select("stream_id", md5.alias("md5"), F.coalesce("n_errors", F.lit(0).cast("long")).alias("n_errors"))
 
 
 @query("SELECT lang AS stream_id, md5(string_agg(text, '' ORDER BY doc_id)) AS md5, true AS same FROM documents GROUP BY lang")
 def q_stream_frame(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("lang", "doc_id", utf8("text").alias("part"))
-    whole = tables.gathered(docs, ["lang"], "doc_id", "part", "data")
-    out = _streamed(spark, _pieces(whole, "lang", "data", 40_000), frame_stream)
-    made = tables.gathered(out, ["stream_id"], "seq", "frames", "frames")
-    batch = whole.select(F.col("lang").alias("stream_id"), codec.snappy_frame(F.col("data")).alias("f"))
-    return made.join(batch, "stream_id").select("stream_id", F.md5(codec.snappy_unframe(F.col("frames"))).alias("md5"), (F.col("frames") == F.col("f")).alias("same"))
+    out = _streamed(spark, _stream_rows(tables.cut(docs, ["lang"], "doc_id", "part", 40_000), "lang"), frame_stream)
+    made = tables.digests(out, ["stream_id"], ["seq"], "frames").select("stream_id", F.struct("n_bytes", "md5").alias("made"))
+    batch = tables.digests(_framed_pieces(spark, docs, "lang"), ["lang"], ["piece_no"], "bytes").select(F.col("lang").cast("string").alias("stream_id"), F.struct("n_bytes", "md5").alias("batch"))
+    # A row has whole chunks, which are decoded apart.
+    back = tables.digests(out.select("stream_id", "seq", codec.snappy_unframe(F.col("frames")).alias("value")), ["stream_id"], ["seq"], "value")
+    return _by_stream(docs, "lang", made, batch, back).select("stream_id", "md5", F.col("made").eqNullSafe(F.col("batch")).alias("same"))
 
 
 @query("SELECT count(*) AS n_docs, sum(octet_length(encode(text)))::BIGINT AS raw_bytes, 5::BIGINT AS n_files, md5(string_agg(text, '' ORDER BY doc_id)) AS md5 FROM documents")

@@ -8,7 +8,8 @@ too early, and the error once there is one: nothing after it is ever decoded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,19 +31,27 @@ class _InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         at = self.next.get()[0] if self.next.exists() else 0
-        # One row at a time is in memory; the others wait in the state store.
-        for row in rows:
-            if row["seq"] >= at:
-                self.early.updateValue((row["seq"],), (bytes(row["bytes"] or b""), bool(row["eof"]), bool(row["flush"])))
-        while self.early.containsKey((at,)):
-            data, eof, flush = self.early.getValue((at,))
-            self.early.removeKey((at,))
-            state = tuple(self.state.get()) if self.state.exists() else self.START
-            state, out = self.take(state, bytes(data), eof, flush)
-            self.state.update(state)
-            if out is not None:
-                yield Row(stream_id=key[0], seq=at, **out)
-            at += 1
+        state = tuple(self.state.get()) if self.state.exists() else self.START
+        # Rows that came too early wait in the state store, and what rows
+        # complete goes on at once: neither ever is in memory as a whole.
+        for batch in rows:
+            for row in batch.itertuples(index=False):
+                if pd.isna(row.seq):
+                    raise ValueError("seq must not be null")
+                seq, now = int(row.seq), (bytes(row.bytes or b""), bool(row.eof), bool(row.flush))
+                if seq > at:
+                    self.early.updateValue((seq,), now)
+                    continue
+                while now is not None and seq == at:
+                    state, out = self.take(state, *now)
+                    if out is not None:
+                        yield pd.DataFrame({"stream_id": [key[0]], "seq": [at], **{k: pd.Series([v], dtype=object) for k, v in out.items()}})
+                    at, now = at + 1, None
+                    if self.early.containsKey((at,)):
+                        data, eof, flush = self.early.getValue((at,))
+                        seq, now = at, (bytes(data), eof, flush)
+                        self.early.removeKey((at,))
+        self.state.update(state)
         self.next.update((at,))
 
     def close(self) -> None:
@@ -85,7 +94,7 @@ class Frame(_InOrder):
 def _stateful(rows: DataFrame, processor, schema: str, mode: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     flush = F.col("flush") if "flush" in rows.columns else F.lit(False)
-    return rows.select("stream_id", "seq", "bytes", "eof", flush.alias("flush")).groupBy("stream_id").transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
+    return rows.select("stream_id", "seq", "bytes", "eof", flush.alias("flush")).groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
 
 
 def unframe_stream(rows: DataFrame, mode: str = "Append") -> DataFrame:

@@ -3,10 +3,14 @@
 import hashlib
 import random
 
+import pandas as pd
+import pytest
+
 from blockcodec.functions import kernels as K
 from blockcodec.operators import tables
 from blockcodec.queries import QUERIES
 from blockcodec.sources import frames
+from blockcodec.streaming.frames import Frame, Unframe
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +55,78 @@ def test_a_read_has_a_bounded_number_of_tasks(tmp_path, monkeypatch):
     assert len(parts) == 3
     read = [r for p in parts for b in reader.read(p) for r in b.to_pylist() if r["value"] is not None]
     assert b"".join(r["value"] for r in read) == data and [r["chunk_no"] for r in read] == list(range(1, 41))
+
+
+def test_cut_pieces_are_those_of_the_whole(spark):
+    some = rows(2)
+    df = spark.createDataFrame(some, "k string, no long, data binary").repartition(7)
+    for size, run in ((1000, 50), (4096, 1024)):
+        got = {}
+        for r in tables.cut(df, ["k"], "no", "data", size, run).collect():
+            got.setdefault(r["k"], {})[r["piece_no"]] = (bytes(r["bytes"]), r["last"])
+        for k, whole in joined(some).items():
+            if whole is None:
+                assert k not in got
+                continue
+            want = [whole[at : at + size] for at in range(0, len(whole), size)] or [b""]
+            assert got[k] == {i: (p, i == len(want) - 1) for i, p in enumerate(want)}
+
+
+class Handle:
+    """State that is kept in dictionaries."""
+
+    def __init__(self):
+        self.values = {}
+
+    def getValueState(self, name, schema):
+        return State(self.values, name)
+
+    def getMapState(self, name, key, value):
+        return State(self.values.setdefault(name, {}), None)
+
+
+class State:
+    def __init__(self, where, name):
+        self.where, self.name = where, name
+
+    def exists(self):
+        return self.name in self.where
+
+    def get(self):
+        return self.where[self.name]
+
+    def update(self, value):
+        self.where[self.name] = value
+
+    def containsKey(self, k):
+        return k in self.where
+
+    def getValue(self, k):
+        return self.where[k]
+
+    def updateValue(self, k, v):
+        self.where[k] = v
+
+    def removeKey(self, k):
+        del self.where[k]
+
+
+def stream_batches(pieces, order, read):
+    for no in order:
+        read.append(no)
+        yield pd.DataFrame({"stream_id": ["s"], "seq": [no], "bytes": [pieces[no]], "eof": [no == len(pieces) - 1], "flush": [False]})
+
+
+@pytest.mark.parametrize("kind", [Frame, Unframe])
+def test_streams_hand_on_rows_before_the_next_are_read(kind):
+    data = random.Random(5).randbytes(300_000)
+    given = data if kind is Frame else K.frame(data)
+    pieces = [given[at : at + 70_000] for at in range(0, len(given), 70_000)]
+    for order in ([0, 1, 2, 3, 4], [4, 2, 0, 1, 1, 0, 3]):
+        processor, read, out, early = kind(), [], [], []
+        processor.init(Handle())
+        for df in processor.handleInputRows(("s",), stream_batches(pieces, order, read), None):
+            early.append(len(read) < len(order))
+            out += df.to_dict("records")
+        assert early[0] and [r["seq"] for r in out] == [0, 1, 2, 3, 4]
+        assert b"".join(r["frames" if kind is Frame else "value"] for r in out) == (K.frame(data) if kind is Frame else data)
