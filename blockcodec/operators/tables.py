@@ -7,6 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions import codec, exprs
 from ..functions.constants import BLOCK_SIZE
@@ -23,17 +24,44 @@ def fragments(df: DataFrame, data: str, keys: list[str]) -> DataFrame:
     return numbered.select(*keys, "fragment_no", start.alias("start"), F.expr(f"substring(`{data}`, fragment_no * {BLOCK_SIZE} + 1, {BLOCK_SIZE})").alias("bytes")).select(*keys, "fragment_no", "start", F.octet_length("bytes").alias("len"), "bytes")
 
 
+#: Bytes of blocks or streams whose elements are made into rows together.
+TOGETHER = 1 << 19
+
+
+def _listed(df: DataFrame, column: str, made, kind, together: int) -> DataFrame:
+    """df with the column's values replaced by lists that `made` finds in them.
+    Elements take many times the bytes they are found in, so a batch is worked
+    off in runs of rows: what is held doesn't grow with it."""
+    at, width = df.columns.index(column), together
+
+    def run(batches):
+        for batch in batches:
+            sizes = [v.as_buffer().size if v.is_valid else 0 for v in batch.column(at)]
+            first = 0
+            while first < batch.num_rows:
+                end, held = first + 1, sizes[first]
+                while end < batch.num_rows and held + sizes[end] <= width:
+                    held += sizes[end]
+                    end += 1
+                some = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([made(c) if i == at else c for i, c in enumerate(some.columns)], names=some.schema.names)
+                first = end
+
+    return df.mapInArrow(run, df.withColumn(column, F.lit(None).cast(from_arrow_type(kind))).schema)
+
+
 def tags(df: DataFrame, block: str, keys: list[str], literals: bool = True) -> DataFrame:
     """keys, tag_no, at, kind, length, offset and, with literals, literal: the
     elements of blocks. A block whose header cannot be read fails the query."""
-    made = codec.snappy_tag_array if literals else codec.snappy_tag_shapes
-    return df.select(*keys, F.inline(made(F.col(block))))
+    rows = df.select(*keys, F.col(block).alias("_list"))
+    return _listed(rows, "_list", codec._elements(literals), codec.TAGS if literals else codec.SHAPES, TOGETHER).select(*keys, F.inline("_list"))
 
 
 def chunks(df: DataFrame, stream: str, keys: list[str]) -> DataFrame:
     """keys, chunk_no, at, chunk_type, body_len, crc, body, error. A last row
     with an error stands for what could not be read."""
-    return df.select(*keys, F.inline(codec.snappy_chunk_array(F.col(stream))))
+    rows = df.select(*keys, F.col(stream).alias("_list"))
+    return _listed(rows, "_list", codec._mapped(codec.chunk_rows, codec.CHUNKS), codec.CHUNKS, 8 * TOGETHER).select(*keys, F.inline("_list"))
 
 
 def gathered(df: DataFrame, keys: list[str], order: str, data: str, name: str = "bytes") -> DataFrame:
@@ -126,8 +154,8 @@ def valid_by_tags(df: DataFrame, block: str, keys: list[str]) -> DataFrame:
     the declared length - a fold over the tags of each row. Rows are judged one
     by one, whatever their keys; a null block is null."""
     declared = exprs.try_uncompressed_length(F.col(block))
-    shapes = codec.snappy_tag_shapes(F.when(declared.isNotNull(), F.col(block)))
-    rows = df.select(*keys, F.col(block).isNull().alias("_none"), declared.alias("_declared"), shapes.alias("_tags"))
+    readable = F.when(declared.isNotNull(), F.col(block))
+    rows = _listed(df.select(*keys, F.col(block).isNull().alias("_none"), declared.alias("_declared"), readable.alias("_tags")), "_tags", codec._elements(False), codec.SHAPES, TOGETHER)
 
     def step(state, tag):
         back = tag["kind"].startswith("copy") & ~((tag["offset"] > 0) & (tag["offset"] <= state["made"]))

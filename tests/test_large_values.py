@@ -130,3 +130,24 @@ def test_streams_hand_on_rows_before_the_next_are_read(kind):
             out += df.to_dict("records")
         assert early[0] and [r["seq"] for r in out] == [0, 1, 2, 3, 4]
         assert b"".join(r["frames" if kind is Frame else "value"] for r in out) == (K.frame(data) if kind is Frame else data)
+
+
+def test_elements_are_found_in_runs_of_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(i, None if i % 9 == 8 else bytes(rng.choices(b"abc", k=rng.choice([0, 30, 900])))) for i in range(60)]
+    blocks = spark.createDataFrame([(i, v if v is None else K.compress(v)) for i, v in data], "id long, b binary").coalesce(1)
+    streams = spark.createDataFrame([(i, v if v is None else K.frame(v)) for i, v in data], "id long, b binary").coalesce(1)
+    for together in (1, 500, tables.TOGETHER):
+        monkeypatch.setattr(tables, "TOGETHER", together)
+        tags, chunks = tables.tags(blocks, "b", ["id"], literals=False), tables.chunks(streams, "b", ["id"])
+        for df in (tags, chunks, tables.valid_by_tags(blocks, "b", ["id"])):
+            assert "mapinarrow" in plan(df) and "arrowevalpython" not in plan(df)
+        assert sorted((r["id"], r["tag_no"], r["length"]) for r in tags.collect()) == [(i, t["tag_no"], t["length"]) for i, v in data if v is not None for t in K.tags(K.compress(v))]
+        assert sorted((r["id"], r["chunk_no"]) for r in chunks.collect()) == [(i, n) for i, v in data if v is not None for n in range(1 + bool(v))]
+        assert {r["id"]: r["valid"] for r in tables.valid_by_tags(blocks, "b", ["id"]).collect()} == {i: None if v is None else True for i, v in data}
+
+
+def test_flush_boundaries_gather_no_source(spark):
+    text = plan(QUERIES["q_frame_flush_boundaries"](spark, SF))
+    gathering = [line for line in text.splitlines() if "collect_list" in line or "listagg" in line]
+    assert gathering and all("piece_no" in line.split("[", 2)[1] for line in gathering if "aggregate [" in line)
