@@ -292,18 +292,31 @@ def q_chunks_types(spark, sf_dir):
 
 @query("SELECT source, (sum(CASE WHEN b > 0 THEN (b + 65535) // 65536 ELSE 0 END))::BIGINT AS chunks_flushed, ((sum(b) + 65535) // 65536)::BIGINT AS chunks_unflushed, sum(b)::BIGINT AS raw_bytes, true AS same FROM (SELECT source, octet_length(encode(text)) AS b FROM documents) GROUP BY source")
 def q_frame_flush_boundaries(spark, sf_dir):
+    """A flush after each document ends its chunk, so documents are framed one
+    by one; without any, chunks end every 64 KB of a source, so its pieces are.
+    What both give back is compared piece by piece."""
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", utf8("text").alias("bytes"))
-    writes = docs.groupBy("source").agg(F.sum(n_bytes("bytes")).alias("raw_bytes"), F.array_sort(F.collect_list(F.struct("doc_id", "bytes"))).alias("w"))
 
-    def stream(flush):
-        return codec.snappy_frame_writes(F.transform("w", lambda x: F.struct(x["bytes"].alias("bytes"), F.lit(flush).alias("flush"))))
-
-    made = writes.select("source", "raw_bytes", stream(True).alias("a"), stream(False).alias("b"))
+    def stream(writes, flush):
+        return codec.snappy_frame_writes(F.transform(writes, lambda x: F.struct(x["bytes"].alias("bytes"), F.lit(flush).alias("flush"))))
 
     def data_chunks(c):
         return F.size(F.filter(codec.snappy_chunk_array(F.col(c)), lambda x: x["chunk_type"] < 2)).cast("long")
 
-    return made.select("source", data_chunks("a").alias("chunks_flushed"), data_chunks("b").alias("chunks_unflushed"), "raw_bytes", (F.md5(codec.snappy_unframe(F.col("a"))) == F.md5(codec.snappy_unframe(F.col("b")))).alias("same"))
+    # A write with a flush after it has the chunks of a stream of its own.
+    a = docs.withColumn("a", codec.snappy_frame(F.col("bytes"))).withColumn("back", codec.snappy_unframe(F.col("a")))
+    whole = F.octet_length("back").eqNullSafe(F.octet_length("bytes"))
+    flushed = a.groupBy("source").agg(F.sum(data_chunks("a")).alias("chunks_flushed"), F.sum(n_bytes("bytes")).alias("raw_bytes"), F.min(whole).alias("whole"))
+    back = tables.placed(a.select("source", "doc_id", "bytes", "back"), ["source"], "doc_id", "bytes")
+    slices = tables.slices(back, ["source"], ["bytes", "back"], BLOCK_SIZE)
+    pieces = slices.groupBy("source", "piece_no").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("w"), F.expr("listagg(back) WITHIN GROUP (ORDER BY start)").alias("back"))
+    b = pieces.select("source", "back", stream("w", False).alias("b"))
+    unflushed = b.select("source", data_chunks("b").alias("n"), F.md5("back").eqNullSafe(F.md5(codec.snappy_unframe(F.col("b")))).alias("same")).groupBy("source").agg(F.sum("n").alias("chunks_unflushed"), F.min("same").alias("same"))
+    own = unflushed.withColumnRenamed("source", "_source")
+    out = flushed.join(own, flushed["source"].eqNullSafe(own["_source"]), "left")
+    # A source without any data has no pieces, one of nulls only no bytes.
+    n = F.coalesce("chunks_unflushed", F.when(F.col("raw_bytes") == 0, F.lit(0).cast("long")))
+    return out.select("source", "chunks_flushed", n.alias("chunks_unflushed"), "raw_bytes", (F.col("whole") & F.coalesce("same", F.lit(True))).alias("same"))
 
 
 @query("SELECT doc_id, md5(text) AS md5 FROM documents")
